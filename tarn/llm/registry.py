@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from .minhash import op1_minhash
 from .secrets import op7_secret_scan
 
-QUERIES = {"op7_secret_scan": op7_secret_scan}
+QUERIES = {
+    "op1_minhash": op1_minhash,
+    "op7_secret_scan": op7_secret_scan,
+}
 ORACLE_SQL: dict[str, str] = {}
