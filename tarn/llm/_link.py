@@ -1,8 +1,9 @@
 """Links between rows that share a bucket, without listing the pairs of a bucket whose rows are linked already.
 
 ``members`` holds (key, id, ...) rows; two ids that share a key are candidates. Round one tests each id against one or
-two pivots (the smallest ids of its buckets), so a bucket of n rows gives about n tests. Ids that are joined by found
-links form classes. Round two tests the pairs of a bucket whose classes differ, each once, whatever their number: no
+two pivots, so a bucket of n rows gives about n tests. A bucket's pivot is its member that meets most others over all
+buckets: in a group of copies that is the text they were made from, or one near it, so the whole group joins at once
+even where two of its copies differ too much to be links. Ids that are joined by found links form classes. Round two tests the pairs of a bucket whose classes differ, each once, whatever their number: no
 bucket is cut. Pairs within a class need no test, since components are what is asked for.
 """
 
@@ -25,14 +26,18 @@ def link(members: DataFrame, test: Callable[[DataFrame, str], DataFrame], scratc
     sides: a condition on columns l.* and r.* that a candidate pair must meet besides sharing a key.
     """
     extra = [c for c in members.columns if c not in ("key", "id")]
-    top = members.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot != last").select("key", "pivot")
-    star = members.join(top, "key").where(F.col("id") != F.col("pivot"))
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("x"), F.max("id").alias("y")).where("x != y")
+    sized = members.select("key", "id").join(sizes.select("key", "n"), "key")
+    meets = sized.groupBy("id").agg(F.sum("n").alias("meets"))
+    ranked = scratch.put(members.select("key", "id").join(meets, "id"), "ranked")
+    top = ranked.groupBy("key").agg(F.max(F.struct("meets", "id")).alias("top")).select("key", F.col("top.id").alias("pivot"), F.col("top.meets").alias("rank"))
+    star = ranked.join(top, "key").where(F.col("id") != F.col("pivot"))
     first = (
         star.groupBy("id", "pivot")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("rank"))
         .groupBy("id")
-        .agg(F.min("pivot").alias("low"), F.min_by("pivot", F.struct(-F.col("n"), F.col("pivot"))).alias("often"))
-        .select(F.explode(F.array_distinct(F.array("low", "often"))).alias("a"), F.col("id").alias("b"))
+        .agg(F.max(F.struct("rank", "pivot")).alias("best"), F.max(F.struct("n", "rank", "pivot")).alias("often"))
+        .select(F.explode(F.array_distinct(F.array("best.pivot", "often.pivot"))).alias("a"), F.col("id").alias("b"))
     )
     first = scratch.put(first, "first")
     found = scratch.put(test(first, "first"), "found_first")
@@ -54,7 +59,7 @@ def link(members: DataFrame, test: Callable[[DataFrame, str], DataFrame], scratc
         F.when(F.col("nb") > F.col("na"), F.col("a")).otherwise(F.col("b")).alias("b"),
     )
     links = scratch.put(found.unionByName(test(turned, "rest")), "links")
-    scratch.drop("named", "first", "rest", "found_first")
+    scratch.drop("ranked", "named", "first", "rest", "found_first")
     return components(links, scratch, "cc_all"), links
 
 
