@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .minhash import op1_minhash
 from .secrets import op7_secret_scan
+from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_minhash": op1_minhash,
+    "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
