@@ -240,11 +240,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     census = counts.groupBy(F.least(F.col("o") + F.col("t"), F.lit(1 << 16)).alias("n")).agg(
         F.count(F.lit(1)).alias("kinds"), *(F.sum((F.col(c) == k).cast("long")).alias(f"{c}{k}") for c in "ot" for k in (1, 2))
     )
-    kinds = census.toPandas().sort_values("n", ascending=False)
+    kinds = census.toArrow().to_pandas().sort_values("n", ascending=False)
     if kinds.empty:
         return None
     fits = kinds[kinds["kinds"].cumsum() <= MOST_NODES]["n"]
-    table = counts.where(F.col("o") + F.col("t") >= (int(fits.min()) if len(fits) else 1 << 16)).toPandas().sort_values("g")
+    table = counts.where(F.col("o") + F.col("t") >= (int(fits.min()) if len(fits) else 1 << 16)).toArrow().to_pandas().sort_values("g")
     pairs = table[["o", "t"]].to_numpy()
     if not len(table) or not pairs[:, 0].any() or not pairs[:, 1].any():
         return None
@@ -265,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pa.record_batch([*(pa.array(x[:, j].copy()) for j in range(FIGURES)), batch.column(1).cast(pa.int32())], names=[*names, "y"])
 
     chosen = marks.where("part = 3").select("key", "y").orderBy(F.xxhash64("key"), "key").limit(CURVE_ROWS)
-    x = with_text(rows, chosen, bounded=True).select("text", "y").mapInArrow(measure, ", ".join(f"{c} double" for c in names) + ", y int").toPandas()
+    x = with_text(rows, chosen, bounded=True).select("text", "y").mapInArrow(measure, ", ".join(f"{c} double" for c in names) + ", y int").toArrow().to_pandas()
     if x["y"].nunique() < 2:
         return None
     return Model(made, logistic(x[names].to_numpy(), (x["y"] == 1).to_numpy(float)))
