@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .langid import op3_langid
 from .minhash import op1_minhash
+from .quality import op4_quality
 from .secrets import op7_secret_scan
 from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_minhash": op1_minhash,
+    "op3_langid": op3_langid,
+    "op4_quality": op4_quality,
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
 }
