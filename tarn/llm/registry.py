@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op5_decontaminate
 from .langid import op3_langid
 from .minhash import op1_minhash
 from .quality import op4_quality
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_minhash": op1_minhash,
     "op3_langid": op3_langid,
     "op4_quality": op4_quality,
+    "op5_decontaminate": op5_decontaminate,
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
 }
