@@ -75,8 +75,9 @@ def cgk_keys(tokens: np.ndarray, starts: np.ndarray, stops: np.ndarray, size: in
     return out
 
 
-def _bit(h: np.ndarray) -> np.ndarray:
-    return (h >> U(64 - MAP_BITS)).astype(np.int64)
+def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two places that a hash marks in a bitmap."""
+    return (h >> U(64 - MAP_BITS)).astype(np.int64), (h >> U(64 - 2 * MAP_BITS) & U((1 << MAP_BITS) - 1)).astype(np.int64)
 
 
 def _runs(h: np.ndarray, n: int) -> np.ndarray:
@@ -95,7 +96,7 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 tokens = h[a:b]
                 keys = cgk_keys(tokens, np.zeros(1, np.int64), np.full(1, m), size_class(m))[0]
-                for c, v in zip(cols, (item, m, tokens.tobytes(), _bit(_runs(tokens, run_length(m))).tolist(), _vec.signed(keys).tolist()), strict=True):
+                for c, v in zip(cols, (item, m, tokens.tobytes(), np.concatenate(_bits(_runs(tokens, run_length(m)))).tolist(), _vec.signed(keys).tolist()), strict=True):
                     c.append(v)
             kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["item", "m", "tokens", "marks", "keys"])
@@ -109,8 +110,12 @@ def bitmap(rows: DataFrame, column: str) -> np.ndarray:
     return np.packbits(out)
 
 
-def has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+def has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    first, second = _bits(h)
+    out = (bits[first >> 3] >> (7 - (first & 7)).astype(np.uint8) & 1).astype(bool)
+    at = second[out]
+    out[out] = bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
+    return out
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -131,7 +136,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     classes = sorted({size_class(m) for m in sizes[1]})
     marks = spark.sparkContext.broadcast(bitmap(bench, "marks"))
     by_key = bench.select("item", F.explode("keys").alias("key"))
-    wanted = by_key.select(F.array(F.shiftrightunsigned("key", 64 - MAP_BITS)).alias("v"))
+    places = [F.shiftrightunsigned("key", 64 - k * MAP_BITS).bitwiseAND((1 << MAP_BITS) - 1) for k in (1, 2)]
+    wanted = by_key.select(F.array(*places).alias("v"))
     keyed = spark.sparkContext.broadcast(bitmap(wanted, "v"))
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +146,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                 h, _, _, bounds = _vec.words(data, offs, _vec.ALNUM)
                 hits = [np.zeros(0, np.int64)]
                 for n in lengths:
-                    hits.append(np.flatnonzero(has(marks.value, _bit(_runs(h, n)))))
+                    hits.append(np.flatnonzero(has(marks.value, _runs(h, n))))
                 hits = np.unique(np.concatenate(hits))
                 ids = batch.column(0).slice(lo, hi - lo)
                 out: list[tuple] = []
@@ -168,7 +174,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                 found = []
                 for words in classes:
                     keys = cgk_keys(h, starts, stops, words)
-                    w, r = np.nonzero(has(keyed.value, _bit(keys)))
+                    w, r = np.nonzero(has(keyed.value, keys))
                     found.append((w, _vec.signed(keys[w, r])))
                 w, k = (np.concatenate(c) for c in zip(*found, strict=True))
                 own = of[w]
