@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op5_decontaminate
 from .langid import op3_langid
+from .lines import op8_line_dedup
 from .minhash import op1_minhash
 from .quality import op4_quality
 from .secrets import op7_secret_scan
@@ -16,5 +17,6 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
+    "op8_line_dedup": op8_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
