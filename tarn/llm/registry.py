@@ -8,6 +8,7 @@ from .lines import op8_line_dedup
 from .minhash import op1_minhash
 from .quality import op4_quality
 from .secrets import op7_secret_scan
+from .tokenstore import op10_token_store
 from .toxicity import op6_toxicity
 
 QUERIES = {
@@ -18,5 +19,6 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
     "op8_line_dedup": op8_line_dedup,
+    "op10_token_store": op10_token_store,
 }
 ORACLE_SQL: dict[str, str] = {}
