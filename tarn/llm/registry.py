@@ -6,6 +6,7 @@ from .decontaminate import op5_decontaminate
 from .langid import op3_langid
 from .lines import op8_line_dedup
 from .minhash import op1_minhash
+from .pieces import op2_sentencepiece
 from .quality import op4_quality
 from .secrets import op7_secret_scan
 from .tokenstore import op10_token_store
@@ -13,6 +14,7 @@ from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_minhash": op1_minhash,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_langid": op3_langid,
     "op4_quality": op4_quality,
     "op5_decontaminate": op5_decontaminate,
