@@ -11,6 +11,7 @@ from .quality import op4_quality
 from .secrets import op7_secret_scan
 from .tokenstore import op10_token_store
 from .toxicity import op6_toxicity
+from .vectors import op9_embedding_dedup
 
 QUERIES = {
     "op1_minhash": op1_minhash,
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
     "op8_line_dedup": op8_line_dedup,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_token_store": op10_token_store,
 }
 ORACLE_SQL: dict[str, str] = {}
