@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _vec
-from ._labels import fold, sample, with_text
+from ._labels import fold, with_text
 from ._store import Scratch
 
 DEEP, MOST_NODES, CURVE_ROWS, CUT = 12, 1 << 20, 6000, 0.3
@@ -286,6 +286,19 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
     return rows.mapInArrow(run, f"key {kind}, score double")
 
 
+def keep_ordinary(docs: DataFrame, model: Model | None, text: str = "text", cut: float = CUT) -> DataFrame:
+    """Rows of ``docs``, all columns, whose score is under ``cut``."""
+    if model is None:
+        return docs
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.score(batch.column(at)) < cut))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = score(docs, fit(docs, labels)).withColumnRenamed("key", "doc_id")
