@@ -3,64 +3,97 @@
 ``members`` holds (key, id, ...) rows; two ids that share a key are candidates. Round one tests each id against one or
 two pivots, so a bucket of n rows gives about n tests. A bucket's pivot is its member that meets most others over all
 buckets: in a group of copies that is the text they were made from, or one near it, so the whole group joins at once
-even where two of its copies differ too much to be links. Ids that are joined by found links form classes. Round two tests the pairs of a bucket whose classes differ, each once, whatever their number: no
-bucket is cut. Pairs within a class need no test, since components are what is asked for.
+even where two of its copies differ too much to be links. Ids that are joined by found links form classes. Round two takes the buckets that
+still hold several classes: their members are dealt over blocks of about ``BLOCK``, and every two blocks of a bucket
+meet in one task, which tests all pairs of different classes and returns links enough to span what it joined. No
+bucket is cut, no pair is listed outside a task, and content travels once for each block it meets, not for each
+partner. Pairs within a class need no test, since components are what is asked for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
 from ._store import Scratch
 
 
-def link(members: DataFrame, test: Callable[[DataFrame, str], DataFrame], scratch: Scratch, sides: Callable[[], Column] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(id, component) of every linked id, and the links found.
+BLOCK = 256
 
-    members: written rows (key, id, [extra columns for ``sides``]).
-    test: takes (a, b) pairs and a name, returns those that are links, as (a, b).
-    sides: a condition on columns l.* and r.* that a candidate pair must meet besides sharing a key.
+
+def link(members: DataFrame, star: Callable[[DataFrame], DataFrame], blocks: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+    """(node, component) of every linked id. members: a written table (key, id), without repeated rows.
+
+    star: takes (a, b) pairs, returns those that are links.
+    blocks: takes (id, wants), wants being an array of (key, lo, hi, block, of), and returns links (a, b).
     """
-    extra = [c for c in members.columns if c not in ("key", "id")]
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("x"), F.max("id").alias("y")).where("x != y")
     sized = members.select("key", "id").join(sizes.select("key", "n"), "key")
     meets = sized.groupBy("id").agg(F.sum("n").alias("meets"))
     ranked = scratch.put(members.select("key", "id").join(meets, "id"), "ranked")
     top = ranked.groupBy("key").agg(F.max(F.struct("meets", "id")).alias("top")).select("key", F.col("top.id").alias("pivot"), F.col("top.meets").alias("rank"))
-    star = ranked.join(top, "key").where(F.col("id") != F.col("pivot"))
+    spokes = ranked.join(top, "key").where(F.col("id") != F.col("pivot"))
     first = (
-        star.groupBy("id", "pivot")
+        spokes.groupBy("id", "pivot")
         .agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("rank"))
         .groupBy("id")
         .agg(F.max(F.struct("rank", "pivot")).alias("best"), F.max(F.struct("n", "rank", "pivot")).alias("often"))
         .select(F.explode(F.array_distinct(F.array("best.pivot", "often.pivot"))).alias("a"), F.col("id").alias("b"))
     )
     first = scratch.put(first, "first")
-    found = scratch.put(test(first, "first"), "found_first")
+    found = scratch.put(star(first), "found_first")
     classes = components(found, scratch, "cc_first")
-    named = members.join(classes, F.col("id") == F.col("node"), "left").select("key", "id", *extra, F.coalesce("component", "id").alias("of"))
-    named = scratch.put(named, "named")
-    open_keys = named.groupBy("key").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x != y").select("key")
-    left, right = named.join(open_keys, "key", "left_semi"), named.join(open_keys, "key", "left_semi")
-    meet = (F.col("l.key") == F.col("r.key")) & (F.col("l.of") < F.col("r.of"))
-    if sides is not None:
-        meet &= sides()
-    rest = left.alias("l").join(right.alias("r"), meet).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    tested = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = scratch.put(rest.join(tested, ["a", "b"], "left_anti"), "rest")
-    # The end that has more partners is the pivot of a test: its content then travels once for many partners.
-    ends = rest.groupBy("a").agg(F.count(F.lit(1)).alias("na")), rest.groupBy("b").agg(F.count(F.lit(1)).alias("nb"))
-    turned = rest.join(ends[0], "a").join(ends[1], "b").select(
-        F.when(F.col("nb") > F.col("na"), F.col("b")).otherwise(F.col("a")).alias("a"),
-        F.when(F.col("nb") > F.col("na"), F.col("a")).otherwise(F.col("b")).alias("b"),
-    )
-    links = scratch.put(found.unionByName(test(turned, "rest")), "links")
-    scratch.drop("ranked", "named", "first", "rest", "found_first")
-    return components(links, scratch, "cc_all"), links
+    named = scratch.put(members.join(classes, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("of")), "named")
+    still = named.groupBy("key").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("n")).where("x != y")
+    dealt = named.join(still.select("key", "n"), "key").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("n")).cast("int"))
+    want = F.struct("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "of")
+    wants = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).groupBy("id").agg(F.collect_list(want).alias("wants"))
+    links = scratch.put(found.unionByName(blocks(wants)), "links")
+    scratch.drop("ranked", "named", "first", "found_first")
+    return components(links, scratch, "cc_all")
+
+
+def spanning(of: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links (places i < j of a boolean matrix) enough to join all classes that ``linked`` joins."""
+    i, j = np.nonzero(np.triu(linked, 1))
+    if not len(i):
+        return []
+    names, code = np.unique(of, return_inverse=True)
+    lo, hi = np.minimum(code[i], code[j]), np.maximum(code[i], code[j])
+    _, first = np.unique(lo * len(names) + hi, return_index=True)
+    parent = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for k in first:
+        a, b = root(int(lo[k])), root(int(hi[k]))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((int(i[k]), int(j[k])))
+    return out
+
+
+def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tuple]]:
+    """Runs of rows that agree in their first ``n_keys`` columns; batches must be sorted by those."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[0][:n_keys] != row[:n_keys]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
 
 
 def fetches(pairs: DataFrame, most: int = 256) -> DataFrame:

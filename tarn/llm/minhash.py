@@ -7,7 +7,7 @@ lowers the variance. 40 bands of three permutations (six places) make the candid
 every band with probability (1 - 0.75**6) ** 40 = 4e-4, at 0.8 with 5e-6. Candidates are confirmed on the full sets.
 
 Equal sets are collapsed before banding, and links among the rest are found by stars and then between classes only
-(see ``_link``), so a group of copies costs tests in proportion to its size, not to its square.
+(see ``_link``), so a group of copies costs tests in proportion to its size.
 
 Defined cases: a text without words, or null, is linked with nothing; a text of fewer than five words is one shingle;
 a row with a null id has a null component and is kept; repeated ids share a component; columns besides id and text
@@ -16,15 +16,15 @@ are ignored; no rows give no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _vec
-from ._link import fetches, link
+from . import _bits, _vec
+from ._link import fetches, groups, link, spanning
 from ._store import Scratch
 
 WIDTH, BANDS, PERMS, SHARE = 5, 40, 3, 0.75
@@ -34,7 +34,8 @@ MUL = _rng.integers(0, 2**32, BANDS * PERMS, dtype=np.uint32) | np.uint32(1)
 ADD = _rng.integers(0, 2**32, BANDS * PERMS, dtype=np.uint32)
 FOLD = _rng.integers(0, 2**64, (BANDS, 2 * PERMS), dtype=np.uint64) | np.uint64(1)
 SIG = "id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>"
-SETS = "a bigint, salt int, role int, id bigint, items binary"
+PIVOTS = pa.schema([("a", pa.int64()), ("salt", pa.int32()), ("role", pa.int32()), ("id", pa.int64()), ("items", pa.binary())])
+BLOCKS = pa.schema([("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("block", pa.int32()), ("of", pa.int64()), ("id", pa.int64()), ("items", pa.binary())])
 
 
 def bands(items: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -81,24 +82,59 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, wants) to a row for each group that wants the set."""
-    kind = pa.schema([("a", pa.int64()), ("salt", pa.int32()), ("role", pa.int32()), ("id", pa.int64()), ("items", pa.binary())])
-    out, size = [], 0
-    for batch in batches:
-        for lo, hi, data, offs in _vec.slices(batch.column(1)):
-            ids, wants = batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(2).slice(lo, hi - lo).to_pylist()
-            h, _, _, bounds = _vec.words(data, offs)
-            for key, want, items in zip(ids, wants, _vec.shingles(h, bounds, WIDTH), strict=True):
-                body = items.tobytes()
-                for w in want:
-                    out.append((w["a"], w["salt"], w["role"], key, body))
-                    size += len(body) + 32
-                    if size > FLUSH:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kind.types, strict=True)], schema=kind)
-                        out, size = [], 0
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kind.types, strict=True)], schema=kind)
+def _sets(kind: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, text, wants) to a row for each want, with the id and the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kind.types, strict=True)], schema=kind)
+
+        for batch in batches:
+            for lo, hi, data, offs in _vec.slices(batch.column(1)):
+                ids, wants = batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(2).slice(lo, hi - lo).to_pylist()
+                h, _, _, bounds = _vec.words(data, offs)
+                for key, want, items in zip(ids, wants, _vec.shingles(h, bounds, WIDTH), strict=True):
+                    body = items.tobytes()
+                    for w in want:
+                        out.append((*w.values(), key, body))
+                        size += len(body) + 32
+                        if size > FLUSH:
+                            yield made()
+                            out, size = [], 0
+        if out:
+            yield made()
+
+    return run
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two blocks of a bucket at a time: shared elements are counted by products of incidence matrices."""
+    for rows in groups(batches, 3):
+        sets = [np.frombuffer(r[-1], np.uint64) for r in rows]
+        n = np.array([len(x) for x in sets])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        item, owner = flat[order], np.repeat(np.arange(len(sets)), n)[order]
+        new = np.concatenate(([True], item[1:] != item[:-1]))
+        column = np.cumsum(new) - 1
+        many = np.bincount(column) > 1
+        rank = np.cumsum(many) - 1
+        use = many[column]
+        column, owner = rank[column[use]], owner[use]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for lo in range(0, int(many.sum()), 8192):
+            part = (column >= lo) & (column < lo + 8192)
+            m = np.zeros((len(sets), 8192), np.float32)
+            m[owner[part], column[part] - lo] = 1
+            both += m @ m.T
+        of, block = np.array([r[4] for r in rows]), np.array([r[3] for r in rows])
+        linked = (both >= SHARE * (n[:, None] + n[None, :] - both)) & (of[:, None] != of[None, :])
+        if rows[0][1] != rows[0][2]:
+            linked &= block[:, None] != block[None, :]
+        pairs = spanning(of, linked)
+        yield pa.record_batch([pa.array([rows[p[k]][5] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,13 +170,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = placed.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x != y").select("key")
     members = scratch.put(placed.join(shared, "key"), "members")
 
-    def test(pairs: DataFrame, name: str) -> DataFrame:
-        held = rows.join(fetches(pairs), "id").select("id", "text", "wants").mapInArrow(_sets, SETS)
+    body = scratch.put(_bits.rows_of(rows, scratch.put(members.select("id").distinct(), "wanted")), "body")
+
+    def star(pairs: DataFrame) -> DataFrame:
+        held = body.join(fetches(pairs), "id").select("id", "text", "wants").mapInArrow(_sets(PIVOTS), "a bigint, salt int, role int, id bigint, items binary")
         held = held.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
         return held.mapInArrow(_confirm, "a bigint, b bigint").distinct()
 
-    classes, _ = link(members, test, scratch)
-    scratch.drop("members", "links")
+    def blocks(wants: DataFrame) -> DataFrame:
+        held = body.join(wants, "id").select("id", "text", "wants").mapInArrow(_sets(BLOCKS), "key bigint, lo int, hi int, block int, of bigint, id bigint, items binary")
+        held = held.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+        return held.mapInArrow(_compare, "a bigint, b bigint").distinct()
+
+    classes = link(members, star, blocks, scratch)
+    scratch.drop("members", "links", "wanted", "body")
     of = sets.join(classes, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("low"))
     out = sig.join(of, ["d1", "d2", "n"], "left")
     own = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("low", "id"))
