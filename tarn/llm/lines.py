@@ -244,24 +244,57 @@ def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, lo, hi, block, of, id, text) to links; pairs whose letter pairs differ too much in parity aren't compared."""
+    held: list[list[tuple]] = []
+    pairs = 0
     for rows in groups(batches, 3):
-        codes = [_codes(r[6]) for r in rows]
-        n = np.array([len(c) for c in codes])
-        marks = np.array([np.bitwise_xor.reduce(U(1) << (_vec.mix(c[1:].astype(np.uint64) << U(32) | c[:-1].astype(np.uint64)) & U(63))) for c in codes], np.uint64)
-        of, block = np.array([r[4] for r in rows]), np.array([r[3] for r in rows])
-        may = (np.abs(n[:, None] - n[None, :]) <= EDITS) & (of[:, None] != of[None, :])
-        if rows[0][1] != rows[0][2]:
-            may &= block[:, None] != block[None, :]
-        i, j = np.nonzero(np.triu(may, 1))
-        few = np.bitwise_count(marks[i] ^ marks[j]) <= 4 * EDITS  # an edit changes at most four pairs
-        i, j = i[few], j[few]
-        linked = np.zeros(may.shape, bool)
-        for lo in range(0, len(i), 20_000):
-            p, q = i[lo : lo + 20_000], j[lo : lo + 20_000]
-            ok = within([codes[k] for k in p], [codes[k] for k in q])
-            linked[p[ok], q[ok]] = True
-        pairs = spanning(of, linked)
-        yield pa.record_batch([pa.array([rows[p[k]][5] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        held.append(rows)
+        pairs += len(rows) * len(rows)
+        if pairs > 400_000:
+            yield _settle(held)
+            held, pairs = [], 0
+    yield _settle(held)
+
+
+def _settle(held: list[list[tuple]]) -> pa.RecordBatch:
+    """Tests the pairs of many groups at once."""
+    out: list[tuple[int, int]] = []
+    rows = [r for g in held for r in g]
+    if rows:
+        text = np.frombuffer("".join([r[6] for r in rows]).encode("utf-32-le", "replace"), np.uint32)
+        n = np.array([len(r[6]) for r in rows])
+        first = np.cumsum(n) - n
+        two = np.zeros(len(text), np.uint64)
+        two[:-1] = U(1) << (_vec.mix(text[1:].astype(np.uint64) << U(32) | text[:-1].astype(np.uint64)) & U(63))
+        two[first + n - 1] = 0
+        marks = np.bitwise_xor.reduceat(two, first)
+        of, block, name = (np.array([r[k] for r in rows]) for k in (4, 3, 5))
+        left, right, group, at = [], [], [], 0
+        for k, g in enumerate(held):
+            m = len(g)
+            i, j = np.triu_indices(m, 1) if m > 2 else (np.zeros(m - 1, np.int64), np.ones(m - 1, np.int64))
+            if g[0][1] != g[0][2]:
+                use = block[at + i] != block[at + j]
+                i, j = i[use], j[use]
+            left.append(at + i)
+            right.append(at + j)
+            group.append(np.full(len(i), k))
+            at += m
+        i, j, group = np.concatenate(left), np.concatenate(right), np.concatenate(group)
+        # An edit changes at most four letter pairs.
+        use = (of[i] != of[j]) & (np.abs(n[i] - n[j]) <= EDITS) & (np.bitwise_count(marks[i] ^ marks[j]) <= 4 * EDITS)
+        i, j, group = i[use], j[use], group[use]
+        lo, hi = np.minimum(name[i], name[j]), np.maximum(name[i], name[j])
+        _, once, back = np.unique(np.stack((lo, hi), 1), axis=0, return_index=True, return_inverse=True)
+        ok = within([text[first[x] : first[x] + n[x]] for x in i[once]], [text[first[x] : first[x] + n[x]] for x in j[once]])[back.ravel()]
+        i, j, group = i[ok], j[ok], group[ok]
+        for k in np.unique(group):
+            mine = group == k
+            places, local = np.unique(np.concatenate((i[mine], j[mine])), return_inverse=True)
+            linked = np.zeros((len(places), len(places)), bool)
+            half = len(local) // 2
+            linked[local[:half], local[half:]] = True
+            out += [(int(name[places[x]]), int(name[places[y]])) for x, y in spanning(of[places], linked | linked.T)]
+    return pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
