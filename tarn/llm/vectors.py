@@ -28,7 +28,7 @@ from ._graph import components
 from ._link import groups, spanning
 from ._store import Scratch
 
-COSINE, TREES, SPILL, SAMPLE, LEAF, BLOCK = 0.95, 8, 0.03, 20_000, 400, 512
+COSINE, TREES, SPILL, SAMPLE, LEAF, BLOCK = 0.95, 8, 0.015, 20_000, 400, 2048
 
 
 class Tree:
@@ -73,11 +73,11 @@ def unit(flat: np.ndarray, dims: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs(batches: Iterator[pa.RecordBatch], dims: int, kind: type) -> Iterator[pa.RecordBatch]:
     """(leaf, lo, hi, block, id, many, places, v) to (id, linked vectors, other end or null)."""
     for rows in groups(batches, 3):
         name, many, block = np.array([r[4] for r in rows]), np.array([r[5] for r in rows]), np.array([r[3] for r in rows])
-        x = np.frombuffer(b"".join(r[7] for r in rows), np.float64).reshape(len(rows), -1)
+        x = unit(np.frombuffer(b"".join(r[7] for r in rows), kind), dims)
         linked = x @ x.T >= COSINE
         np.fill_diagonal(linked, False)
         if rows[0][1] != rows[0][2]:
@@ -93,11 +93,9 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 marks = np.zeros((len(rows), len(names)), np.float32)
                 marks[owner[before], code] = 1
                 new = np.zeros(len(i), bool)
-                for lo in range(0, len(i), 1 << 16):
-                    a, b = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
-                    for k in range(0, len(a), 4096):
-                        p, q = a[k : k + 4096], b[k : k + 4096]
-                        new[lo + k : lo + k + len(p)] = np.einsum("ij,ij->i", marks[p], marks[q]) == 0
+                for k in range(0, len(i), 4096):
+                    p, q = i[k : k + 4096], j[k : k + 4096]
+                    new[k : k + 4096] = np.einsum("ij,ij->i", marks[p], marks[q]) == 0
                 i, j = i[new], j[new]
         n = np.bincount(i, many[j], len(rows)) + np.bincount(j, many[i], len(rows))
         fresh = np.zeros(linked.shape, bool)
@@ -123,9 +121,10 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     classes = scratch.put(classes, "classes")
     lead = whole.join(classes.select("rep", "many", F.col("name").alias("of")), (F.col("id") == F.col("rep")) & (F.col("name") == F.col("of"))).select("id", "many", "v")
     lead = scratch.put(lead.dropDuplicates(["id", "v"]), "lead")
+    kind = np.float32 if rows.schema[vector_col].dataType.simpleString() == "array<float>" else np.float64
     links = []
     for row in lead.groupBy(F.size("v").alias("dims")).agg(F.count(F.lit(1)).alias("n")).collect():
-        links.append(_forest(spark, lead.where(F.size("v") == row["dims"]), row["dims"], row["n"]))
+        links.append(_forest(spark, lead.where(F.size("v") == row["dims"]), row["dims"], row["n"], kind))
     if links:
         found = links[0]
         for more in links[1:]:
@@ -142,7 +141,8 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 
 
-def _forest(spark: SparkSession, lead: DataFrame, dims: int, n: int) -> DataFrame:
+def _forest(spark: SparkSession, lead: DataFrame, dims: int, n: int, kind: type) -> DataFrame:
+    """Vectors travel in the precision ``kind`` that they came in, and are compared in double precision."""
     sample = lead.select("v").orderBy(F.xxhash64("id")).limit(SAMPLE).toArrow()["v"].combine_chunks()
     sample = unit(sample.values.to_numpy(), dims)
     trees = spark.sparkContext.broadcast([Tree(k, sample, n) for k in range(TREES)])
@@ -151,28 +151,29 @@ def _forest(spark: SparkSession, lead: DataFrame, dims: int, n: int) -> DataFram
         for batch in batches:
             for lo in range(0, len(batch), 2048):
                 part = batch.slice(lo, 2048)
-                x = unit(part.column(2).flatten().to_numpy(), dims)
+                raw = part.column(2).flatten().to_numpy()
+                x = unit(raw, dims)
                 row, leaf = [], []
                 for k, tree in enumerate(trees.value):
                     r, l = tree.leaves(x)
                     row.append(r)
-                    leaf.append(l + (k << 40))
+                    leaf.append((l + (k << 24)).astype(np.int32))
                 row, leaf = np.concatenate(row), np.concatenate(leaf)
                 order = np.lexsort((leaf, row))
                 row, leaf = row[order], leaf[order]
                 ends = np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32)
-                bodies = pa.array([v.tobytes() for v in x], pa.binary())
+                bodies = pa.array([v.tobytes() for v in raw.reshape(-1, dims).astype(kind)], pa.binary())
                 yield pa.record_batch([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(leaf)), bodies], names=["id", "many", "places", "v"])
 
     scratch = Scratch(spark, "forest")
-    placed = scratch.put(lead.mapInArrow(place, "id bigint, many bigint, places array<bigint>, v binary"), "placed")
+    placed = scratch.put(lead.mapInArrow(place, "id bigint, many bigint, places array<int>, v binary"), "placed")
     each = placed.select(F.explode("places").alias("leaf"), "id")
     sizes = each.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("k"))
     dealt = placed.select(F.explode("places").alias("leaf"), "id", "many", "places", "v").join(sizes, "leaf").withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = dealt.select("leaf", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "many", "places", "v")
     dealt = dealt.repartition("leaf", "lo", "hi").sortWithinPartitions("leaf", "lo", "hi")
-    return dealt.mapInArrow(_pairs, "id bigint, n bigint, other bigint")
+    return dealt.mapInArrow(lambda b: _pairs(b, dims, kind), "id bigint, n bigint, other bigint")
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
