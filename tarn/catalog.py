@@ -400,7 +400,9 @@ query("aggregate_as_of", _folds(f"(SELECT * FROM {LOG} WHERE timestamp <= TIMEST
 query("aggregate_from_state", "SELECT stream_id, views, clicks FROM (" + _folds(LOG) + ")")(
     lambda t: ACCOUNT.project(log(t).where("version > 10"), start=ACCOUNT.project(to_version(log(t), 10))).select("stream_id", "views", "clicks")
 )
-query("aggregate_last_known", None)(lambda t: CLOSING.last_known(log(t)))
+KNOWN = f"""(SELECT e.* FROM {LOG} e JOIN (SELECT a.stream_id, a.last, max(b.version) AS gone FROM (SELECT stream_id, max(version) AS last FROM {LOG} WHERE type IN ('signup', 'view', 'click') GROUP BY 1) a
+  LEFT JOIN (SELECT * FROM {LOG} WHERE type = 'error') b ON a.stream_id = b.stream_id AND b.version < a.last GROUP BY 1, 2) k ON e.stream_id = k.stream_id WHERE e.version <= k.last AND (k.gone IS NULL OR e.version > k.gone))"""
+query("aggregate_last_known", _folds(KNOWN))(lambda t: CLOSING.last_known(log(t)))
 query("aggregate_by_tags", f"SELECT {K} AS k, count(*) FILTER (event_type = 'view') AS views FROM events WHERE {K} IN (7, 9) AND event_type IN ('signup', 'view', 'click') GROUP BY 1")(
     lambda t: ACCOUNT.project(ev.EventLog(log(t, False)).by_tags([ev.TagCondition("k", 7), ev.TagCondition("k", 9)], _tags(t)).withColumn("k", F.get_json_object("data", "$.k").cast("int")), "k", "seq_id").select("k", "views")
 )
@@ -511,7 +513,7 @@ def _both(name: str, text: str, args: list | None = None, given: str | None = No
 
 _both("raw_sql_params", "SELECT o_orderkey FROM {orders} WHERE o_orderstatus = ? AND o_totalprice > ?", ["F", 400000.0], "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 400000")
 _both("raw_sql_union", "SELECT c_nationkey AS k FROM {customer} UNION SELECT n_nationkey AS k FROM {nation}")
-_both("raw_sql_window", "SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM {orders}")
+_both("raw_sql_window", "SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS place FROM {orders}")
 _both("raw_sql_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 _both("raw_sql_anti_join", "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 490000)")
 _both("raw_sql_except", "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey AS k FROM {orders} WHERE o_totalprice > 480000")
