@@ -34,6 +34,8 @@ class TagCondition:
 @dataclass(frozen=True)
 class EventLog:
     events: DataFrame
+    #: Types whose bodies are bytes.
+    binary: frozenset[str] = frozenset()
 
     # Streams.
     def fetch_stream(self, stream: Any, version: int | None = None, timestamp: Any = None, from_version: int | None = None, known: list[str] | None = None) -> DataFrame:
@@ -87,7 +89,7 @@ class EventLog:
     def bodies(self, type_name: str, schema: str, predicate: Column | None = None) -> DataFrame:
         """Bodies of one type, parsed by a schema, as ``body``; a binary body can't be read."""
         df = self.events.where(F.col("type") == type_name)
-        if "data_binary" in df.columns:
+        if type_name in self.binary:
             raise QueryNotSupported("a query of binary bodies")
         df = df.withColumn("body", F.from_json("data", schema))
         return (df if predicate is None else df.where(predicate)).orderBy("seq_id")

@@ -31,7 +31,7 @@ from ..operators.eventlog import EventLog, TagCondition
 from ..operators.fold import Fold
 from ..operators.query import Query
 
-EVENTS = "seq_id long, stream_id string, version long, type string, timestamp timestamp_ntz, tenant_id string, data string, headers string"
+EVENTS = "seq_id long, stream_id string, version long, type string, timestamp timestamp_ntz, tenant_id string, data string, headers string, data_binary binary"
 TAGS = "tag string, value string, seq_id long"
 SYSTEM = "_commit long, _place int, _gone boolean, is_deleted boolean, deleted_at timestamp_ntz, last_modified timestamp_ntz, revision long, tenant_id string"
 RETRIES, FIRST_WAIT = 5, 0.05
@@ -100,6 +100,10 @@ class Store:
         self.inline: list[Callable[[Session, list[dict]], None]] = []
         self.before: list[Callable[[Session], None]] = []
         self.after: list[Callable[[dict], None]] = []
+        #: Takes the messages of a session, once, when its commit is durable; by default they are dropped.
+        self.outbox: Callable[[list], None] = lambda messages: None
+        #: Event types whose bodies are bytes: their encoders.
+        self.binary: dict[str, Callable[[dict], bytes]] = {}
 
     def register(self, name: str, key: str, schema: str, soft_delete: bool = False, tenanted: bool = False) -> Store:
         fields = T._parse_datatype_string(schema)
@@ -114,8 +118,36 @@ class Store:
     def snapshot(self, commit: int | None = None) -> Snapshot:
         return Snapshot(self, self.head() if commit is None else commit)
 
-    def session(self, tenant: str | None = None) -> Session:
-        return Session(self, tenant)
+    def session(self, tenant: str | None = None, tracking: str = "none") -> Session:
+        return Session(self, tenant, tracking)
+
+    def seed(self, *steps: Callable[[Session], None]) -> bool:
+        """Initial data: runs the steps in one session if nothing was ever committed."""
+        if self.head():
+            return False
+        session = self.session()
+        for step in steps:
+            step(session)
+        session.save()
+        return True
+
+    def clean(self, *tables: str) -> int:
+        """Empties types (all of them by default) or ``events``; sequences go on where they were."""
+        tables = tables or tuple(self.types)
+        if "events" in tables:
+            tables = (*tables, "tags")
+        for _ in range(RETRIES + 1):
+            base = self.snapshot()
+            manifest = {"commit": base.commit + 1, "segments": [], "last_sequence": base.last_sequence(), "cleaned": list(tables)}
+            if self.files.create(f"_commits/{base.commit + 1:012d}.json", json.dumps(manifest)):
+                return base.commit + 1
+        raise ConcurrencyConflict("other writers won every attempt")
+
+    def ddl(self) -> str:
+        """The tables as statements."""
+        every = {name: fields for name, (_, fields) in self.types.items()} | {"events": T._parse_datatype_string(EVENTS), "tags": T._parse_datatype_string(TAGS)}
+        lines = lambda fields: ",\n".join(f"  {f.name} {f.dataType.simpleString()}" for f in fields)
+        return "\n".join(f"CREATE TABLE {name} (\n{lines(fields)}\n) USING parquet;" for name, fields in every.items())
 
 
 class Snapshot:
@@ -133,7 +165,8 @@ class Snapshot:
         return self._manifests
 
     def _table(self, name: str, schema: T.StructType | str) -> DataFrame:
-        paths = [f"{self.store.files.root}/{s}" for m in self.manifests for t, s in m["segments"] if t == name]
+        cleaned = max((m["commit"] for m in self.manifests if name in m.get("cleaned", [])), default=0)
+        paths = [f"{self.store.files.root}/{s}" for m in self.manifests if m["commit"] > cleaned for t, s in m["segments"] if t == name]
         schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
         return self.store.spark.read.schema(schema).parquet(*paths) if paths else self.store.spark.createDataFrame([], schema)
 
@@ -165,7 +198,7 @@ class Snapshot:
         if gone:
             df = df.where(~F.col("stream_id").isin(*gone))
         hidden = [s for s, on in flags.items() if on]
-        return EventLog(df.withColumn("is_archived", F.col("stream_id").isin(*hidden) if hidden else F.lit(False)))
+        return EventLog(df.withColumn("is_archived", F.col("stream_id").isin(*hidden) if hidden else F.lit(False)), frozenset(self.store.binary))
 
     def tags(self) -> dict[str, DataFrame]:
         rows = self._table("tags", TAGS)
@@ -182,6 +215,8 @@ class Snapshot:
             out |= {s: v for s, v in m.get("streams", {}).items() if s in wanted}
             for s in m.get("tombstoned", []):
                 out.pop(s, None)
+            if "events" in m.get("cleaned", []):
+                out = {}
         return out
 
     def aggregate(self, fold: Fold, stream: str, version: int | None = None, timestamp: Any = None) -> DataFrame:
@@ -191,8 +226,12 @@ class Snapshot:
 class Session:
     """A unit of work: changes wait until ``save``, which commits all of them or none."""
 
-    def __init__(self, store: Store, tenant: str | None = None):
-        self.store, self.tenant, self.pending = store, tenant, Pending()
+    def __init__(self, store: Store, tenant: str | None = None, tracking: str = "none"):
+        if tracking not in ("none", "identity", "dirty"):
+            raise QueryNotSupported(f"tracking by {tracking}")
+        self.store, self.tenant, self.pending, self.tracking = store, tenant, Pending(), tracking
+        self.messages: list = []
+        self.loaded: dict[tuple[str, Any], tuple[dict | None, str]] = {}
         self.archived: list[str] = []
         self.restored: list[str] = []
         self.tombstoned: list[str] = []
@@ -201,6 +240,30 @@ class Session:
     def query(self, name: str) -> Query:
         return self.store.snapshot().query(name, self.tenant)
 
+    def for_tenant(self, tenant: str) -> Session:
+        """A scope of another tenant that shares this session's commit."""
+        scope = Session(self.store, tenant)
+        scope.pending = self.pending
+        return scope
+
+    def load(self, name: str, key: Any) -> dict | None:
+        """A document as a dict. With tracking the same object each time; with dirty tracking its changes are saved."""
+        if self.tracking != "none" and (name, key) in self.loaded:
+            return self.loaded[name, key][0]
+        rows = self.query(name).load(key).collect()
+        fields = self.store.types[name][1].names
+        found = {k: v for k, v in rows[0].asDict(recursive=True).items() if k in fields} if rows else None
+        if self.tracking != "none":
+            self.loaded[name, key] = (found, json.dumps(found, default=str, sort_keys=True))
+        return found
+
+    def batch(self) -> Batch:
+        return Batch(self.store.snapshot(), self.tenant)
+
+    def publish(self, message: Any) -> Session:
+        self.messages.append(message)
+        return self
+
     # Documents.
     def store_(self, name: str, row: dict, revision: int = 0) -> Session:
         """Insert or replace; a revision must be greater than the stored one, 0 takes the next."""
@@ -246,6 +309,40 @@ class Session:
         now = self.store.snapshot().stream_versions([stream]).get(stream, 0)
         return self.append(stream, *events, expected=now + len(events))
 
+    def fetch_for_writing(self, fold: Fold, stream: str) -> Handle:
+        """The aggregate of a stream and its version; what is appended through the handle needs that version still."""
+        snap = self.store.snapshot()
+        version = snap.stream_versions([stream]).get(stream, 0)
+        rows = snap.aggregate(fold, stream).collect() if version else []
+        return Handle(self, stream, version, rows[0].asDict(recursive=True) if rows else None)
+
+    def write_to(self, fold: Fold, stream: str, decide: Callable[[dict | None], list[tuple[str, dict]]]) -> int:
+        """Decides on events by the aggregate, appends and saves; a conflict is the caller's."""
+        handle = self.fetch_for_writing(fold, stream)
+        handle.append(*decide(handle.aggregate))
+        return self.save()
+
+    def fetch_latest(self, fold: Fold, stream: str, document: str | None = None) -> dict | None:
+        """The projected document of a stream where it is kept as one, else the fold."""
+        if document is not None:
+            return self.load(document, stream)
+        return self.fetch_for_writing(fold, stream).aggregate
+
+    def project_latest(self, fold: Fold, stream: str) -> dict | None:
+        """The fold of what is committed and what this session has pending."""
+        snap = self.store.snapshot()
+        have = snap.stream_versions([stream]).get(stream, 0)
+        rows = []
+        for name, events, _ in self.pending.streams:
+            for kind, body in events if name == stream else ():
+                have += 1
+                rows.append((None, stream, have, kind, None, self.tenant or "", json.dumps({k: v for k, v in body.items() if k[0] != "_"}), None, None))
+        both = snap.log().fetch_stream(stream).drop("is_archived")
+        if rows:
+            both = both.unionByName(self.store.spark.createDataFrame(rows, EVENTS))
+        got = fold.project(both).collect()
+        return got[0].asDict(recursive=True) if got else None
+
     def archive(self, stream: str) -> Session:
         self.archived.append(stream)
         return self
@@ -278,6 +375,9 @@ class Session:
     # The commit.
     def save(self) -> int:
         """The commit's number. A lost race starts again from the guards, some times, with growing waits."""
+        for (name, key), (now, before) in self.loaded.items() if self.tracking == "dirty" else ():
+            if now is not None and json.dumps(now, default=str, sort_keys=True) != before:
+                self.update(name, now)
         if not (self.pending.documents or self.pending.streams or self.archived or self.restored or self.tombstoned):
             return self.store.head()
         for hook in self.store.before:
@@ -285,7 +385,11 @@ class Session:
         for attempt in range(RETRIES + 1):
             number = self._try()
             if number is not None:
-                self.pending = Pending()
+                sent, self.messages, self.loaded = self.messages, [], {}
+                self.pending.documents.clear()
+                self.pending.streams.clear()
+                self.pending.guards.clear()
+                self.store.outbox(sent)
                 self.archived, self.restored, self.tombstoned = [], [], []
                 return number
             time.sleep(FIRST_WAIT * 2**attempt * (0.5 + random.random()))
@@ -310,7 +414,7 @@ class Session:
                 body = dict(body)
                 own = body.pop("_tags", {})
                 headers = {**self.correlation, **body.pop("_headers", {})}
-                rows.append({"seq_id": sequence, "stream_id": stream, "version": have, "type": kind, "timestamp": now, "tenant_id": self.tenant or "", "data": json.dumps(body), "headers": json.dumps(headers)})
+                rows.append({"seq_id": sequence, "stream_id": stream, "version": have, "type": kind, "timestamp": now, "tenant_id": self.tenant or "", "data": "{}" if kind in store.binary else json.dumps(body), "headers": json.dumps(headers), "data_binary": store.binary[kind](body) if kind in store.binary else None})
                 tags += [{"tag": t, "value": str(v), "seq_id": sequence} for t, v in own.items()]
             versions[stream] = have
         if rows:
@@ -378,6 +482,38 @@ class Session:
         return {**have, **system, "_gone": True}
 
 
+@dataclass
+class Handle:
+    """A stream as it was read for writing."""
+
+    session: Session
+    stream: str
+    version: int
+    aggregate: dict | None
+
+    def append(self, *events: tuple[str, dict]) -> None:
+        self.session.append(self.stream, *events, expected=self.version + len(events))
+        self.version += len(events)
+
+
+class Batch:
+    """Several reads of one snapshot."""
+
+    def __init__(self, snapshot: Snapshot, tenant: str | None = None):
+        self.snapshot, self.tenant, self.reads = snapshot, tenant, []
+
+    def add(self, read: Callable[[Snapshot], Any]) -> Batch:
+        """Any function of the snapshot: a query plan, a point read, a tag query."""
+        self.reads.append(read)
+        return self
+
+    def load(self, name: str, key: Any) -> Batch:
+        return self.add(lambda s: s.query(name, self.tenant).load(key).collect())
+
+    def execute(self) -> list:
+        return [got.collect() if isinstance(got, DataFrame) else got for got in (read(self.snapshot) for read in self.reads)]
+
+
 def bulk_insert(store: Store, name: str, rows: DataFrame, mode: str = "inserts_only") -> int:
     """Rows of a DataFrame as documents in one commit, by executors. mode: inserts_only, overwrite or ignore_duplicates."""
     mapping, fields = store.types[name]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +32,8 @@ class Projection:
     #: Called with the new events of a batch before it is committed (a subscription, an outbox).
     subscriber: Callable[[DataFrame, int], None] | None = None
     skip_errors: bool = False
+    #: Events up to this sequence are not taken in.
+    start: int = 0
 
 
 @dataclass
@@ -61,6 +63,7 @@ class Daemon:
     def _batch(self, p: Projection, df: DataFrame, batch: int) -> None:
         if f"{batch:012d}.json" in self.files.names(f"{p.name}/_batches"):
             return
+        df = df.where(F.col("seq_id") > p.start)
         rows = df.where(~F.col("is_archived")) if "is_archived" in df.columns else df
         if p.types is not None:
             rows = rows.where(F.col("type").isin(*p.types))
@@ -100,6 +103,12 @@ class Daemon:
         self.files.delete(p.name)
         self.run(p)
 
+    def rewind(self, p: Projection, sequence: int) -> Projection:
+        """The projection as one that begins after ``sequence``, replayed from there."""
+        begun = replace(p, start=sequence)
+        self.rebuild(begun)
+        return begun
+
     def lag(self, name: str) -> int:
         """How far a projection is behind the log."""
         top = self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.events).agg(F.max("seq_id")).first()[0]

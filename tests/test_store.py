@@ -117,7 +117,7 @@ def test_bulk_insert_and_keys(spark, store):
 
 
 def test_stream_equals_batch(spark, store, tmp_path):
-    schema = "seq_id long, stream_id string, version long, type string, timestamp timestamp_ntz, tenant_id string, data string, headers string"
+    schema = "seq_id long, stream_id string, version long, type string, timestamp timestamp_ntz, tenant_id string, data string, headers string, data_binary binary"
     seen = []
     p = Projection("purse", lambda df: PURSE.project(df), types=["earned"], subscriber=lambda df, n: seen.append(df.count()))
     store.session().append("a", ("earned", {"n": 1}), ("spent", {"n": 9})).save()
@@ -140,3 +140,56 @@ def test_stream_equals_batch(spark, store, tmp_path):
     bad = Projection("bad", lambda df: PURSE.project(df), subscriber=fail, skip_errors=True)
     daemon.run(bad)
     assert daemon.dead_letters("bad")[0]["kind"] == "ValueError"
+    later = daemon.rewind(p, 3)
+    assert {(r.stream_id, r.balance) for r in daemon.result(later).collect()} == {("a", 2)}
+
+
+def test_writing_by_an_aggregate(store):
+    s = store.session()
+    handle = s.fetch_for_writing(PURSE, "p")
+    assert handle.aggregate is None and handle.version == 0
+    handle.append(("earned", {"n": 3}))
+    assert s.project_latest(PURSE, "p")["balance"] == 3
+    s.save()
+    stale = store.session().fetch_for_writing(PURSE, "p")
+    store.session().write_to(PURSE, "p", lambda a: [("earned", {"n": a["balance"]})])
+    assert store.session().fetch_latest(PURSE, "p")["balance"] == 6
+    stale.append(("earned", {"n": 1}))
+    with pytest.raises(ConcurrencyConflict):
+        stale.session.save()
+
+
+def test_sessions(store):
+    sent = []
+    store.outbox = sent.extend
+    assert store.seed(lambda s: s.store_("user", {"id": "a", "name": "A", "age": 1})) and not store.seed()
+    s = store.session(tracking="dirty").publish("hello")
+    doc = s.load("user", "a")
+    assert s.load("user", "a") is doc
+    doc["age"] = 2
+    s.save()
+    assert store.snapshot().query("user").load("a").first().age == 2 and sent == ["hello"]
+    head = store.head()
+    assert store.session().save() == head
+    got = store.session().batch().load("user", "a").add(lambda x: x.query("user").count()).execute()
+    assert got[0][0].name == "A" and got[1] == 1
+    store.session().store_("user", {"id": "b", "name": "B", "age": 1}).eject("user", "b").save()
+    assert store.session().load("user", "b") is None
+    assert "CREATE TABLE user" in store.ddl()
+
+
+def test_binary_bodies_and_cleaning(store):
+    from tarn.errors import QueryNotSupported
+
+    store.binary["blob"] = lambda body: body["x"].encode()
+    store.session().append("s", ("blob", {"x": "bytes"}), ("earned", {"n": 1})).store_("user", {"id": "a", "name": "A", "age": 1}).save()
+    row = store.snapshot().events().where("type = 'blob'").first()
+    assert bytes(row.data_binary) == b"bytes" and row.data == "{}"
+    with pytest.raises(QueryNotSupported):
+        store.snapshot().log().bodies("blob", "x string")
+    store.clean("user")
+    assert names(store) == [] and store.snapshot().events().count() == 2
+    store.clean("events")
+    assert store.snapshot().events().count() == 0
+    store.session().start_stream("s", ("earned", {"n": 1})).save()
+    assert [(r.seq_id, r.version) for r in store.snapshot().events().collect()] == [(3, 1)]
