@@ -24,11 +24,23 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Batches that go to Python hold whole texts, so they are bounded by size too, not by rows alone.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the session's limits of Arrow batches to ``BATCH``; a limit that was set already stays."""
+    for name, value in BATCH.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
+
+
 class Scratch:
     """A folder of tables for one call of an operator."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         path, fs = self._fs(self.root)
         fs.deleteOnExit(path)

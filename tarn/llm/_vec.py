@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 #: Letters, digits and everything beyond ASCII.
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -32,6 +33,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: workers live on between tasks, and an executor has several."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not this C library
+
+
+_seen = 0
+
+
 def slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets of its documents) for runs of rows of about ``most`` bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -45,6 +57,11 @@ def slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int, np.n
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + most, "right")) - 1)
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
+    global _seen
+    _seen += len(data)
+    if _seen > 32 << 20:
+        _seen = 0
+        trim()
 
 
 def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray = WORD, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from . import _vec
 from ._labels import fold, sample, with_text
+from ._store import bound_batches
 
 #: Languages of a family. A language that no family lists is a family of its own.
 FAMILIES = {
@@ -181,6 +182,7 @@ def fit(docs: DataFrame, lang: str, key: str = "doc_id", text: str = "text") ->
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score) for every row."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from . import _vec
 from ._labels import fold, sample, with_text
+from ._store import bound_batches
 
 SLOTS, TRAIN_ROWS, EPOCHS = 1 << 20, 6000, 4
 ALPHA, BETA, L1, L2 = 0.2, 1.0, 0.02, 1.0
@@ -138,6 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score) for every row."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
