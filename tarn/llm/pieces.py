@@ -32,9 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _vec
+from ._memo import Memo
+from ._store import bound_batches
 
 MARK = "▁"
-MEMO = 500_000
+MEMO = 800_000
 U = np.uint64
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 
@@ -114,7 +116,7 @@ class Transducer:
         names = sorted(self.id_of)
         self.lexicon = Slots(np.array([self._name(np.array([ord(c) for c in p], np.uint64)) for p in names], np.uint64), np.array([self.id_of[p] for p in names]))
         self.pair_keys, self.pair_ok = np.zeros(1 << 20, np.uint64), np.zeros(1 << 20, bool)
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(MEMO)
 
     @staticmethod
     def _name(symbols: np.ndarray) -> int:
@@ -233,10 +235,11 @@ class Transducer:
         ids = [self.byte_ids[b] for b in symbol.encode("utf-8", "replace")]
         return ids if min(ids) >= 0 else [self.unknown]
 
-    def learn(self, new: list[str], wanted: set[str]) -> None:
-        if len(self.memo) + len(new) > MEMO:
-            self.memo = {x: y for x in wanted if (y := self.memo.get(x)) is not None}
-        new.sort(key=len)
+    def make(self, chunks: list[str]) -> list[bytes]:
+        """Ids of normalised chunks, those of like length together."""
+        order = sorted(range(len(chunks)), key=lambda k: len(chunks[k]))
+        new = [chunks[k] for k in order]
+        out: list[bytes] = []
         lo = 0
         while lo < len(new):
             n = len(new[lo])
@@ -244,16 +247,17 @@ class Transducer:
             hi = lo + 1
             while hi < len(new) and hi - lo < most and len(new[hi]) <= n + 1 + n // 4:
                 hi += 1
-            self.memo.update(zip(new[lo:hi], self.solve(new[lo:hi]), strict=True))
+            out += self.solve(new[lo:hi])
             lo = hi
+        back = [b""] * len(chunks)
+        for k, ids in zip(order, out, strict=True):
+            back[k] = ids
+        return back
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if self.apart else re.compile("(?s).+")
         chunks = [split.findall(self.normalise(t)) for t in texts]
-        wanted = set().union(*chunks)
-        if new := wanted.difference(self.memo):
-            self.learn(list(new), wanted)
-        get = self.memo.__getitem__
+        get = self.memo.table(set().union(*chunks), self.make).__getitem__
         return [np.frombuffer(b"".join(map(get, c)), np.int32) for c in chunks]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -269,12 +273,13 @@ def transducer(path: str) -> Transducer:
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_crc32, round_trip, ids): round_trip says whether decoding the ids gives the text again."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(model)
         for batch in batches:
-            for lo, hi, _, _ in _vec.slices(batch.column(1)):
+            for lo, hi, _, _ in _vec.slices(batch.column(1), 1 << 20):
                 texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
                 ids = machine.encode(texts)
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
