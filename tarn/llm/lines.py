@@ -20,11 +20,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from . import _vec
 from ._link import fetches, groups, link, spanning
@@ -104,7 +102,7 @@ class Unseen:
     def first(self, h: np.ndarray) -> np.ndarray:
         names, at = np.unique(h, return_index=True)
         new = np.fromiter((x not in self.held for x in names.tolist()), bool, len(names))
-        if len(self.held) > 300_000:
+        if len(self.held) > 100_000:
             self.held.clear()
         self.held.update(names[new].tolist())
         return at[new]
@@ -338,25 +336,28 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return gone.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
 
 
-@F.pandas_udf(StringType())
-def _cut(text: pd.Series, dropped: pd.Series) -> pd.Series:
-    def one(t: str | None, gone: list | None) -> str | None:
-        if t is None or gone is None:
-            return t
-        gone = set(gone)
-        return "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
-
-    return pd.Series([one(t, g) for t, g in zip(text, dropped, strict=True)], dtype=object)
+def cut(text: str | None, gone: list[int] | None) -> str | None:
+    if text is None or gone is None:
+        return text
+    gone = set(gone)
+    return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without its repeated lines; documents of which no line is left go, all columns stay."""
     gone = duplicate_lines(docs, id_col, text_col).select(F.col("doc").alias("_tarn_doc"), F.col("dropped").alias("_tarn_dropped"))
-    kept = docs.join(gone, F.col(id_col).cast("long") == F.col("_tarn_doc"), "left")
+    kept = docs.join(gone, F.col(id_col).cast("long") == F.col("_tarn_doc"), "left").drop("_tarn_doc")
     whole = F.col("_tarn_dropped").isNull()
     kept = kept.where(whole | (F.size("_tarn_dropped") < F.size(F.split(F.col(text_col), "\n", -1))))
-    cut = F.when(whole, F.col(text_col)).otherwise(_cut(F.col(text_col), F.col("_tarn_dropped")))
-    return kept.withColumn(text_col, cut).select(*docs.columns)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *columns, dropped = batch.columns
+            columns[at] = pa.array([cut(t, g) for t, g in zip(columns[at].to_pylist(), dropped.to_pylist(), strict=True)], pa.string())
+            yield pa.record_batch(columns, names=batch.schema.names[:-1])
+
+    return kept.mapInArrow(run, docs.schema)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

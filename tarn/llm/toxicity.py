@@ -90,10 +90,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t, every = np.bincount(inv, toxic, len(key)).astype(np.int64), np.bincount(inv, minlength=len(key))
             held.append([key, nodes.parent[at], nodes.tri[at], every - t, t])
             size += len(key)
-            if size > 1_000_000:
+            if size > 400_000:
                 held = [merged()]
                 size = len(held[0][0])
-                if size > 700_000:
+                if size > 300_000:
                     yield rows(held[0])
                     held, size = [], 0
     if held:
