@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +35,24 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def trim() -> None:
     """Gives freed memory back to the system: workers live on between tasks, and an executor has several."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):
         pass  # not this C library
 
 
+#: What empties the memos that operators keep in a worker between tasks.
+MEMOS: list[Callable[[], None]] = []
+
+
+def alone() -> None:
+    """Called by operators that need the worker's memory: other operators' memos go."""
+    for empty in MEMOS:
+        empty()
+    trim()
+
+
 _seen = 0
 
 

@@ -141,6 +141,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     keyed = spark.sparkContext.broadcast(bitmap(wanted, "v"))
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _vec.alone()
         for batch in batches:
             for lo, hi, data, offs in _vec.slices(batch.column(1)):
                 h, _, _, bounds = _vec.words(data, offs, _vec.ALNUM)

@@ -87,6 +87,7 @@ def segments(l: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _vec.alone()
     for batch in batches:
         for lo, hi, data, offs in _vec.slices(batch.column(1)):
             x = Lines(data, offs)
@@ -109,6 +110,7 @@ class Unseen:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _vec.alone()
     seen = Unseen()
     for batch in batches:
         for _, _, data, offs in _vec.slices(batch.column(1)):

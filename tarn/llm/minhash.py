@@ -53,6 +53,7 @@ def bands(items: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _vec.alone()
     for batch in batches:
         ids = batch.column(0)
         for lo, hi, data, offs in _vec.slices(batch.column(1)):

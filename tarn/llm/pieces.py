@@ -271,6 +271,9 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
+_vec.MEMOS.append(transducer.cache_clear)
+
+
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_crc32, round_trip, ids): round_trip says whether decoding the ids gives the text again."""
     bound_batches(docs.sparkSession)

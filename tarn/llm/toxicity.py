@@ -68,6 +68,7 @@ class Nodes:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, label) to counts of beginnings by class, summed within the task."""
+    _vec.alone()
     held: list[list[np.ndarray]] = []
     size = 0
 
