@@ -19,8 +19,10 @@ table gives an empty store; other columns are ignored.
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
+import os
 import re
 import struct
 import zlib
@@ -32,56 +34,69 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import _vec
 from ._store import Scratch
 
 MEAN_BITS, LEAST, MOST, SPAN = 10, 128, 8192, 8
-MEMO = 400_000
+MEMO = 300_000
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(4242))
 GEAR = _rng.integers(0, 2**64, 1 << 16, dtype=np.uint64)
 #: White space as the pre-tokenizer sees it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: The pre-tokenizer never joins two of these pieces: a run of other characters with at most one space before it,
-#: or white space up to that.
-PIECE = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
+#: Characters that are letters or digits in every Unicode version, and ASCII's marks.
+ALNUM, PUNCT = "A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "!-/:-@\\[-`{-~"
+#: Places where the pre-tokenizer always cuts: between alphanumerics and marks (an apostrophe stays with what follows),
+#: before white space, and before the last white space of a run. What is not clearly either stays with its neighbours.
+PIECE = re.compile(
+    f"(?:'| ?)[{ALNUM}]+(?=[{PUNCT}{SPACE}]|\\Z)"
+    f"|(?!'[{ALNUM}]) ?[{PUNCT}]+(?=[{ALNUM}{SPACE}]|\\Z)"
+    f"| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]"
+)
 
 
-class Encoder:
-    """The library's ids, with a bounded memo of pieces: every piece is encoded by the library once and then looked up."""
+#: A run of letters, digits or marks, with at most one space before it, and the characters that byte-level models show bytes as.
+WORD = re.compile(f" ?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]+|[{PUNCT}]+)")
+_shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+LETTER = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _shown)}
+
+
+class Encoder(dict):
+    """The library's ids of pieces, kept in two bounded generations: each piece is encoded by the library when it is new."""
 
     def __init__(self, path: str, end: int):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+        self.tokenizer = parts = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.end = struct.pack("<I", end)
-        self.memo: dict[str, bytes] = {}
-
-    def learn(self, texts: list[str]) -> None:
-        new = [x for x in dict.fromkeys(texts) if x not in self.memo]
-        if not new:
-            return
-        if len(self.memo) + len(new) > MEMO:
-            self.memo = {}
-            new = list(dict.fromkeys(texts))
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = e.ids
-                self.memo[x] = struct.pack(f"<{len(ids)}I", *ids)
-
-    def __call__(self, text: str) -> np.ndarray:
+        # Only then the model sees just the bytes of a word.
+        self.plain = parts.normalizer is None and type(parts.pre_tokenizer).__name__ == "ByteLevel" and not parts.pre_tokenizer.add_prefix_space and type(parts.model).__name__ == "BPE"
+        self.model = parts.model
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        if len(self) >= MEMO:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+    def make(self, piece: str) -> bytes:
+        """Letters, digits or marks alone are one word to the pre-tokenizer, which goes to the library's model directly."""
+        if self.plain and WORD.fullmatch(piece):
+            shown = piece.replace(" ", "\u0120") if piece.isascii() else piece.encode().decode("latin-1").translate(LETTER)
+            return array.array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return array.array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def ids(self, text: str) -> np.ndarray:
         """Ids of a text, with the end id."""
-        pieces = PIECE.findall(text)
-        out = []
-        for lo in range(0, len(pieces), 50_000):
-            part = pieces[lo : lo + 50_000]
-            try:
-                out.append(b"".join(map(self.memo.__getitem__, part)))
-            except KeyError:
-                self.learn(part)
-                out.append(b"".join(map(self.memo.__getitem__, part)))
-        return np.frombuffer(b"".join(out) + self.end, np.uint32)
+        return np.frombuffer(b"".join(map(self.__getitem__, PIECE.findall(text))) + self.end, np.uint32)
 
 
 @functools.lru_cache(2)
@@ -90,6 +105,9 @@ def encoder(path: str, end: int) -> Encoder:
     return Encoder(path, end)
 
 
+_vec.MEMOS.append(encoder.cache_clear)
+
+
 def cuts(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of an id stream."""
     n = len(ids)
@@ -156,12 +174,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, id_col: str =
     kind = np.uint16 if width == 2 else np.uint32
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, pack = encoder(tokenizer, end), zstandard.ZstdCompressor(level=1)
+        ids_of, pack = encoder(tokenizer, end).ids, zstandard.ZstdCompressor(level=1)
         given: set[bytes] = set()
         fields = pa.struct([("name", pa.binary()), ("n", pa.int32()), ("ids", pa.binary())])
         for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.slice(lo, 512)
+            for lo, hi, _, _ in _vec.slices(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
                 n, roots, recipes, fresh = [], [], [], []
                 for text in part.column(1).to_pylist():
                     ids = ids_of(text or "")
