@@ -10,9 +10,10 @@ figures are its log-likelihood ratio by word, the largest of a word, and what it
 normalised by the number of words and by its root; a logistic curve turns them into a score.
 
 Counts come from every labelled row but those of folds 2 (held out) and 3; the curve is fitted on at most
-``CURVE_ROWS`` labelled rows of fold 3. The shuffled counts grow with the labelled text. The table of ratios that
-travels to the executors is bounded: where there are more than ``MOST_NODES`` different beginnings, those under the
-smallest count cutoff that fits are left to the shared distribution.
+``CURVE_ROWS`` labelled rows of fold 3. Counts, and the ratios made from them, are written tables that grow with the
+labelled text; none is left out. The ratios of the most frequent beginnings, up to ``MOST_KNOWN``, travel to the
+executors to settle most words in place; every other word is looked up in the complete table by a join, so the figures
+don't depend on that bound.
 
 Defined cases: null and empty texts get the score of a text without evidence, as any text of
 unknown words; without labels of both classes every score is 0; labels of a row that disagree count as toxic; rows with a
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,10 +34,11 @@ from . import _vec
 from ._labels import fold, with_text
 from ._store import Scratch
 
-DEEP, MOST_NODES, CURVE_ROWS, CUT = 12, 1 << 20, 6000, 0.3
+DEEP, MOST_KNOWN, CURVE_ROWS, CUT = 12, 1 << 21, 6000, 0.3
 #: Counts that the shared distribution adds to every beginning, and the log ratios from which a word counts as strong.
 PRIOR, STRONG, FIGURES = 10.0, (1.5, 4.0), 6
-SLOT_BITS = 22
+#: The bitmap that tells what isn't in the complete table has 2^22 words (32 MB); where it is crowded, more is looked up.
+MARK_BITS = 22
 U = np.uint64
 
 
@@ -48,16 +51,14 @@ def _symbols(data: np.ndarray) -> np.ndarray:
 
 
 class Nodes:
-    """The beginnings of all words of a slice: a row for each of a word's first ``DEEP`` bytes."""
+    """The beginnings of words: a row for each of a word's first ``DEEP`` bytes."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray):
-        s = _symbols(data)
-        _, starts, ends, _ = _vec.words(s, offs, _vec.ALNUM, fold=False)
+    def __init__(self, s: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         size = np.minimum(ends - starts, DEEP)
         first = np.cumsum(size) - size
         place = np.arange(size.sum()) - np.repeat(first, size)
-        self.first, self.at = first, np.repeat(starts, size) + place
-        sym = s[self.at]
+        self.first, self.size, self.place = first, size, place
+        sym = s[np.repeat(starts, size) + place]
         run = np.cumsum(_vec.BYTE[sym] * _vec.PLACE[place], dtype=np.uint64)
         before = np.concatenate((run[:1] * U(0), run))[np.repeat(first, size)]
         self.key = _vec.mix(run - before + (place + 1).astype(np.uint64))
@@ -66,6 +67,12 @@ class Nodes:
         self.tri = sym.astype(np.uint64) | back(1) << U(8) | back(2) << U(16)
 
 
+def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Symbols of a slice, its words' hashes, starts and ends, and where each document's words begin."""
+    s = _symbols(data)
+    return s, *_vec.words(s, offs, _vec.ALNUM, fold=False)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, label) to counts of beginnings by class, summed within the task."""
     _vec.alone()
@@ -85,10 +92,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi, data, offs in _vec.slices(batch.column(0)):
             if not len(data):
                 continue
-            nodes = Nodes(data, offs)
-            toxic = np.repeat(labels[lo:hi] == 1, np.diff(offs))[nodes.at]
+            s, h, starts, ends, bounds = _words(data, offs)
+            _, at, inv = np.unique(h, return_index=True, return_inverse=True)
+            nodes = Nodes(s, starts[at], ends[at])
+            toxic = np.bincount(inv, np.repeat(labels[lo:hi] == 1, np.diff(bounds)), len(at))
+            times = np.repeat(np.stack((toxic, np.bincount(inv, minlength=len(at)))), nodes.size, axis=1)
             key, at, inv = np.unique(nodes.key, return_index=True, return_inverse=True)
-            t, every = np.bincount(inv, toxic, len(key)).astype(np.int64), np.bincount(inv, minlength=len(key))
+            t, every = (np.bincount(inv, x, len(key)).astype(np.int64) for x in times)
             held.append([key, nodes.parent[at], nodes.tri[at], every - t, t])
             size += len(key)
             if size > 400_000:
@@ -114,90 +124,143 @@ def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float
 BACKOFF = U(0x6A09E667F3BCC908)
 
 
-def ratios(key: np.ndarray, parent: np.ndarray, tri: np.ndarray, counts: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and log ratios: of each known beginning, and (key ^ BACKOFF) of what a beginning withholds for unknown ones.
-
-    counts: (len(key), 2), columns ordinary and toxic.
-    """
-    pair, n3 = _by_key(tri, np.ones(len(tri)))
+def shared(pair: np.ndarray, n3: np.ndarray) -> np.ndarray:
+    """The shared distribution at each symbol with the two before it (``pair``, sorted), from in how many beginnings it ends."""
     head, total3, kinds3 = _by_key(pair >> U(8), n3, np.ones(len(pair)))
     low, n2 = _by_key(pair & U(0xFFFF), np.ones(len(pair)))
     head2, total2, kinds2 = _by_key(low >> U(8), n2, np.ones(len(low)))
-    d = 0.75
+    d, p, ctx = 0.75, pair & U(0xFFFF), pair >> U(8)
+    total = _at(head2, total2, p >> U(8), 0)
+    shared2 = (np.maximum(_at(low, n2, p, 0) - d, 0) + d * _at(head2, kinds2, p >> U(8), 0) / 256 + 1 / 256) / (total + 1)
+    return (np.maximum(n3 - d, 0) + (d * _at(head, kinds3, ctx, 0) + 1) * shared2) / (_at(head, total3, ctx, 0) + 1)
+
 
-    def shared2(p: np.ndarray) -> np.ndarray:
-        total = _at(head2, total2, p >> U(8), 0)
-        return (np.maximum(_at(low, n2, p, 0) - d, 0) + d * _at(head2, kinds2, p >> U(8), 0) / 256 + 1 / 256) / (total + 1)
+def ratios(counts: DataFrame, sums: tuple[float, float], discount: float) -> DataFrame:
+    """(k, v, n): the log ratio of each beginning, and (k = its name ^ BACKOFF) of what it withholds for unknown ones.
 
-    ctx = tri >> U(8)
-    below = (np.maximum(_at(pair, n3, tri, 0) - d, 0) + (d * _at(head, kinds3, ctx, 0) + 1) * shared2(tri & U(0xFFFF))) / (_at(head, total3, ctx, 0) + 1)
-    c = counts * np.minimum(1, counts.sum(0).min() / np.maximum(counts.sum(0), 1))
-    held = np.minimum(c, discount)
-    up, *stats = _by_key(parent, c[:, 0], c[:, 1], held[:, 0], held[:, 1])
-    total, kept = np.stack(stats[:2], 1) + PRIOR, np.stack(stats[2:], 1) + PRIOR
-    left = kept / total
-    place = np.searchsorted(up, parent)
-    probs = np.maximum(c - discount, 0) / total[place] + left[place] * below[:, None]
-    return np.concatenate([key, up ^ BACKOFF]), np.concatenate([np.log(probs[:, 1] / probs[:, 0]), np.log(left[:, 1] / left[:, 0])]).astype(np.float32)
+    counts: the written table of all beginnings (g, parent, tri, o, t), of which ``sums`` are the totals by class. n is
+    the count of a beginning, and for what is withheld that of all that follows.
+    """
+    spark = counts.sparkSession
+    tri = counts.groupBy("tri").agg(F.count(F.lit(1)).alias("n")).toArrow().to_pandas().sort_values("tri")
+    below = shared(tri["tri"].to_numpy().astype(np.uint64), tri["n"].to_numpy(float))
+    below = spark.createDataFrame(pa.table({"tri": pa.array(tri["tri"].to_numpy()), "below": pa.array(below)}))
+    c = [F.col(x) * F.lit(min(1.0, min(sums) / max(total, 1.0))) for x, total in zip("ot", sums, strict=True)]
+    rows = counts.select("g", "parent", "tri", (F.col("o") + F.col("t")).alias("n"), c[0].alias("c0"), c[1].alias("c1"))
+    names = [f"{x}{k}" for x in ("total", "kept") for k in (0, 1)]
+    stats = [F.sum("c0"), F.sum("c1"), F.sum(F.least("c0", F.lit(discount))), F.sum(F.least("c1", F.lit(discount)))]
+    ups = rows.groupBy("parent").agg(*((x + F.lit(PRIOR)).alias(name) for x, name in zip(stats, names, strict=True)), F.sum("n").alias("n"))
+    left = [F.col(f"kept{k}") / F.col(f"total{k}") for k in (0, 1)]
+    probs = [F.greatest(F.col(f"c{k}") - F.lit(discount), F.lit(0.0)) / F.col(f"total{k}") + left[k] * F.col("below") for k in (0, 1)]
+    known = rows.join(F.broadcast(below), "tri").join(ups.drop("n"), "parent")
+    known = known.select(F.col("g").alias("k"), F.log(probs[1] / probs[0]).cast("float").alias("v"), "n")
+    back = F.col("parent").bitwiseXOR(F.lit(int(BACKOFF)))
+    return known.unionByName(ups.select(back.alias("k"), F.log(left[1] / left[0]).cast("float").alias("v"), "n"))
 
 
 class Table:
-    """Keys to values in two candidate slots each; of keys that find both taken, the ones with the smaller values go."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = min(SLOT_BITS, max(8, int(len(keys)).bit_length() + 1))
-        self.shift = U(64 - bits)
-        self.marks, self.values = np.zeros(1 << bits, np.uint32), np.zeros(1 << bits, np.float32)
-        order = np.argsort(-np.abs(values), kind="stable")
-        keys, values = keys[order], values[order]
-        for which in (0, 1):
-            slot, mark = self.place(keys, which)
-            free = self.marks[slot] == 0
-            slot_, first = np.unique(slot[free], return_index=True)
-            at = np.flatnonzero(free)[first]
-            self.marks[slot_], self.values[slot_] = mark[at], values[at]
-            rest = np.ones(len(keys), bool)
-            rest[at] = False
-            keys, values = keys[rest], values[rest]
-
-    def place(self, keys: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
-        h = _vec.mix(keys) if which == 0 else _vec.mix(keys ^ U(0x5BD1E995A5A5A5A5))
-        return (h >> self.shift).astype(np.int64), (h & U(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
+    """uint64 keys to values, open addressing, all keys placed.
+
+    marks: a word of bits for each hash of a key, with the bits of all keys that exist anywhere.
+    """
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, marks: np.ndarray | None = None):
+        self.marks = marks
+        self.bits = max(8, int(len(keys)).bit_length() + 1)
+        self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, np.nan, np.float32)
+        rest, probe = np.arange(len(keys)), 0
+        while len(rest):
+            slot = self._slot(keys[rest], probe)
+            free = np.flatnonzero(np.isnan(self.values[slot]))
+            taken, first = np.unique(slot[free], return_index=True)
+            at = free[first]
+            self.keys[taken], self.values[taken] = keys[rest[at]], values[rest[at]]
+            rest = np.delete(rest, at)
+            probe += 1
+        self.probes = probe
+
+    def _slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        return (_vec.mix(keys + U(probe)) >> U(64 - self.bits)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        slot, mark = self.place(keys, 0)
-        hit = self.marks[slot] == mark
-        out = np.where(hit, self.values[slot], np.float32(0))
-        rest = np.flatnonzero(~hit)
-        if len(rest):
-            slot, mark = self.place(keys[rest], 1)
-            second = self.marks[slot] == mark
-            out[rest[second]] = self.values[slot[second]]
-            hit[rest[second]] = True
+        """Values (0 where there is none), and whether there is one."""
+        out, hit = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
+        rest = np.arange(len(keys))
+        for probe in range(self.probes):
+            slot = self._slot(keys[rest], probe)
+            value, same = self.values[slot], self.keys[slot] == keys[rest]
+            some = ~np.isnan(value)
+            got = rest[same & some]
+            out[got], hit[got] = value[same & some], True
+            rest = rest[~same & some]
+            if not len(rest):
+                break
         return out, hit
 
 
-def figures(table: Table, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """The figures of each document of a slice, from the log ratios of its words."""
-    out = np.zeros((len(offs) - 1, FIGURES))
-    nodes = Nodes(data, offs)
-    if not len(nodes.key):
-        return out
+    def maybe(self, keys: np.ndarray) -> np.ndarray:
+        """Which keys may exist somewhere; the others surely don't."""
+        h = _vec.mix(keys)
+        bits = U(1) << (h & U(63)) | U(1) << (h >> U(6) & U(63)) | U(1) << (h >> U(12) & U(63))
+        return self.marks[(h >> U(64 - MARK_BITS)).astype(np.int64)] & bits == bits
+
+
+def key_marks(table: DataFrame) -> np.ndarray:
+    """The marks of all keys of ``table``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = _vec.mix(batch.column(0).to_numpy().view(np.uint64))
+            bits = U(1) << (h & U(63)) | U(1) << (h >> U(6) & U(63)) | U(1) << (h >> U(12) & U(63))
+            yield pa.record_batch([pa.array((h >> U(64 - MARK_BITS)).astype(np.int32)), pa.array(_vec.signed(bits))], names=["at", "bits"])
+
+    got = table.select("k").mapInArrow(run, "at int, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << MARK_BITS, np.uint64)
+    out[got["at"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def spell(table: Table, s: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[Nodes, np.ndarray, np.ndarray, np.ndarray]:
+    """Beginnings of words and their log ratios as far as ``table`` knows; where a beginning, or what its parent withholds, may be known elsewhere."""
+    nodes = Nodes(s, starts, ends)
     got, hit = table.find(nodes.key)
     rest = np.flatnonzero(~hit)
-    got[rest] = table.find(nodes.parent[rest] ^ BACKOFF)[0]
-    word = np.add.reduceat(got.astype(np.float64), nodes.first)
-    bounds = np.searchsorted(nodes.at[nodes.first], offs)
-    n = np.diff(bounds)
-    some = np.flatnonzero(n)
-    first, n = bounds[:-1][some], n[some]
-    out[some, 0] = np.add.reduceat(word, first) / n
-    out[some, 1] = np.maximum.reduceat(word, first)
+    back = nodes.parent[rest] ^ BACKOFF
+    got[rest], known = table.find(back)
+    doubt, doubt_back = np.zeros(len(hit), bool), np.zeros(len(hit), bool)
+    doubt[rest] = table.maybe(nodes.key[rest])
+    doubt_back[rest] = ~known & table.maybe(back)
+    return nodes, got, doubt, doubt_back
+
+
+SUMS = ["n", "s", "m", "c0", "c1"]
+OPEN = pa.struct([("w", pa.int64()), ("word", pa.binary()), ("times", pa.int64()), ("base", pa.float64())])
+
+
+def _sums(table: Table, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Of each document of a slice: number of words, sum, maximum and what is beyond ``STRONG`` of the words that the table settles; the others."""
+    out, n = np.zeros((len(offs) - 1, len(SUMS))), len(offs) - 1
+    out[:, 2] = -np.inf
+    s, h, starts, ends, bounds = _words(data, offs)
+    if not len(h):
+        return out, pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], OPEN))
+    _, at, inv = np.unique(h, return_index=True, return_inverse=True)
+    nodes, got, doubt, doubt_back = spell(table, s, starts[at], ends[at])
+    base = np.add.reduceat(got.astype(np.float64), nodes.first)
+    word, shut = base[inv], ~np.logical_or.reduceat(doubt | doubt_back, nodes.first)[inv]
+    out[:, 0] = np.diff(bounds)
+    some = np.flatnonzero(out[:, 0])
+    first = bounds[:-1][some]
+    out[some, 1] = np.add.reduceat(np.where(shut, word, 0), first)
+    out[some, 2] = np.maximum.reduceat(np.where(shut, word, -np.inf), first)
     for k, least in enumerate(STRONG):
-        strong = np.add.reduceat(np.maximum(word - least, 0), first)
-        out[some, 2 + 2 * k] = strong / n
-        out[some, 3 + 2 * k] = strong / np.sqrt(n)
-    return out
+        out[some, 3 + k] = np.add.reduceat(np.where(shut, np.maximum(word - least, 0), 0), first)
+    doc = np.repeat(np.arange(n), np.diff(bounds))
+    pair, times = np.unique(np.stack((doc[~shut], inv[~shut])), axis=1, return_counts=True)
+    text = s.tobytes()
+    words = pa.array([text[a:b] for a, b in zip(starts[at[pair[1]]], ends[at[pair[1]]], strict=True)], pa.binary())
+    open_ = pa.StructArray.from_arrays([pa.array(_vec.signed(h[at[pair[1]]])), words, pa.array(times), pa.array(base[pair[1]])], fields=list(OPEN))
+    return out, pa.ListArray.from_arrays(pa.array(np.searchsorted(pair[0], np.arange(n + 1)).astype(np.int32)), open_)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,16 +278,53 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndar
 
 
 class Model:
-    def __init__(self, table: Table, curve: tuple[np.ndarray, np.ndarray, np.ndarray]):
-        self.table, self.curve = table, curve
+    """table: all log ratios (k, v), as written. known: the ones of the most frequent beginnings, broadcast."""
+
+    def __init__(self, table: DataFrame, known: Broadcast[Table]):
+        self.table, self.known = table, known
+        self.curve: tuple[np.ndarray, np.ndarray, np.ndarray] = (np.zeros(FIGURES), np.ones(FIGURES), np.zeros(FIGURES + 1))
 
-    def score(self, column: pa.Array) -> np.ndarray:
-        out = np.zeros(len(column))
-        centre, spread, w = self.curve
-        for lo, hi, data, offs in _vec.slices(column):
-            z = (figures(self.table, data, offs) - centre) / spread
-            out[lo:hi] = 1 / (1 + np.exp(-np.clip(z @ w[:-1] + w[-1], -30, 30)))
-        return out
+
+def figures(rows: DataFrame, model: Model) -> DataFrame:
+    """(key, f0, f1, ...) of every row of (key, text), from the log ratios of its words.
+
+    Words that the broadcast ratios don't settle meet the complete table in a join, each distinct one once.
+    """
+    scratch, known = Scratch(rows.sparkSession, "toxicity"), model.known
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offs in _vec.slices(batch.column(2)):
+                x, open_ = _sums(known.value, data, offs)
+                yield pa.record_batch([*(batch.column(k).slice(lo, hi - lo) for k in (0, 1)), *(pa.array(x[:, j].copy()) for j in range(len(SUMS))), open_], names=["row", "key", *SUMS, "open"])
+
+    def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.array([len(x) for x in batch.column(1).to_pylist()], np.int64)
+            data = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8)
+            ends = np.cumsum(size)
+            nodes, got, doubt, doubt_back = spell(known.value, data, ends - size, ends)
+            word = np.repeat(batch.column(0).to_numpy(), nodes.size)
+            for back, may, k in ((False, doubt, nodes.key), (True, doubt_back, nodes.parent ^ BACKOFF)):
+                yield pa.record_batch([pa.array(word[may]), pa.array(nodes.place[may].astype(np.int32)), pa.array(np.full(may.sum(), back)), pa.array(got[may]), pa.array(_vec.signed(k[may]))], names=["w", "place", "back", "less", "k"])
+
+    kind = rows.schema["key"].dataType.simpleString()
+    sums = rows.select(F.monotonically_increasing_id().alias("row"), "key", "text")
+    sums = sums.mapInArrow(run, f"row bigint, key {kind}, {', '.join(f'{c} double' for c in SUMS)}, open array<struct<w: bigint, word: binary, times: bigint, base: double>>")
+    sums = scratch.put(sums, "sums")
+    opened = sums.select("row", F.explode("open").alias("open")).select("row", "open.*")
+    asked = opened.groupBy("w").agg(F.min("word").alias("word")).mapInArrow(beginnings, "w bigint, place int, back boolean, less float, k bigint")
+    # What is found takes the place of what was counted as withheld.
+    more = F.col("v").cast("double") - F.col("less").cast("double")
+    got = asked.join(model.table.select("k", "v"), "k").select("w", "place", "back", more.alias("more")).repartition("w").groupBy("w", "place").agg(F.coalesce(F.max(F.when(~F.col("back"), F.col("more"))), F.max("more")).alias("more"))
+    words = got.groupBy("w").agg(F.sum("more").alias("more"))
+    beyond = [F.sum(F.greatest(F.col("r") - F.lit(x), F.lit(0.0)) * F.col("times")) for x in STRONG]
+    late = opened.drop("word").join(words, "w", "left").withColumn("r", F.col("base") + F.coalesce("more", F.lit(0.0))).groupBy("row").agg(F.sum(F.col("r") * F.col("times")).alias("s_"), F.max("r").alias("m_"), *(x.alias(f"c{k}_") for k, x in enumerate(beyond)))
+    both = sums.drop("open").join(late, "row", "left")
+    s, c0, c1 = (F.col(x) + F.coalesce(f"{x}_", F.lit(0.0)) for x in ("s", "c0", "c1"))
+    n = F.col("n")
+    made = [s / n, F.greatest("m", "m_"), c0 / n, c0 / F.sqrt(n), c1 / n, c1 / F.sqrt(n)]
+    return both.select("key", *(F.when(n > 0, x).otherwise(0.0).alias(f"f{j}") for j, x in enumerate(made)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
@@ -238,38 +338,25 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     counts = learnt.mapInArrow(_count, "g bigint, parent bigint, tri bigint, o bigint, t bigint")
     counts = counts.groupBy("g").agg(F.min("parent").alias("parent"), F.min("tri").alias("tri"), F.sum("o").alias("o"), F.sum("t").alias("t"))
     counts = scratch.put(counts, "counts")
-    census = counts.groupBy(F.least(F.col("o") + F.col("t"), F.lit(1 << 16)).alias("n")).agg(
-        F.count(F.lit(1)).alias("kinds"), *(F.sum((F.col(c) == k).cast("long")).alias(f"{c}{k}") for c in "ot" for k in (1, 2))
-    )
-    kinds = census.toArrow().to_pandas().sort_values("n", ascending=False)
-    if kinds.empty:
-        return None
-    fits = kinds[kinds["kinds"].cumsum() <= MOST_NODES]["n"]
-    table = counts.where(F.col("o") + F.col("t") >= (int(fits.min()) if len(fits) else 1 << 16)).toArrow().to_pandas().sort_values("g")
-    pairs = table[["o", "t"]].to_numpy()
-    if not len(table) or not pairs[:, 0].any() or not pairs[:, 1].any():
+    stats = [F.sum("o").alias("o"), F.sum("t").alias("t"), *(F.sum((F.col(c) == k).cast("long")).alias(f"{c}{k}") for c in "ot" for k in (1, 2))]
+    census = counts.agg(*stats).first()
+    if not census["o"] or not census["t"]:
         return None
-    small = "ot"[int(np.argmin(pairs.sum(0)))]
-    ones, twos = float(kinds[f"{small}1"].sum()), float(kinds[f"{small}2"].sum())
+    small = "o" if census["o"] <= census["t"] else "t"
+    ones, twos = float(census[f"{small}1"]), float(census[f"{small}2"])
+    table = scratch.put(ratios(counts, (float(census["o"]), float(census["t"])), ones / (ones + 2 * twos) if ones else 0.5), "ratios")
     scratch.drop("counts")
-    made = Table(*ratios(*(table[c].to_numpy().astype(np.uint64) for c in ("g", "parent", "tri")), pairs, ones / (ones + 2 * twos) if ones else 0.5))
-    shared = spark.sparkContext.broadcast(made)
-
-    names = [f"f{j}" for j in range(FIGURES)]
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [np.zeros((0, FIGURES))]
-            for _, _, data, offs in _vec.slices(batch.column(0)):
-                got.append(figures(shared.value, data, offs))
-            x = np.concatenate(got)
-            yield pa.record_batch([*(pa.array(x[:, j].copy()) for j in range(FIGURES)), batch.column(1).cast(pa.int32())], names=[*names, "y"])
+    kinds = table.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count(F.lit(1)).alias("kinds")).toArrow().to_pandas().sort_values("n", ascending=False)
+    fits = kinds[kinds["kinds"].cumsum() <= MOST_KNOWN]["n"]
+    known = table.where(F.col("n") >= (int(fits.min()) if len(fits) else 1 << 62)).select("k", "v").toArrow()
+    model = Model(table, spark.sparkContext.broadcast(Table(known["k"].to_numpy().astype(np.uint64), known["v"].to_numpy(), key_marks(table))))
 
     chosen = marks.where("part = 3").select("key", "y").orderBy(F.xxhash64("key"), "key").limit(CURVE_ROWS)
-    x = with_text(rows, chosen, bounded=True).select("text", "y").mapInArrow(measure, ", ".join(f"{c} double" for c in names) + ", y int").toArrow().to_pandas()
-    if x["y"].nunique() < 2:
+    x = figures(with_text(rows, chosen, bounded=True).select(F.col("y").alias("key"), "text"), model).toArrow().to_pandas()
+    if x["key"].nunique() < 2:
         return None
-    return Model(made, logistic(x[names].to_numpy(), (x["y"] == 1).to_numpy(float)))
+    model.curve = logistic(x[[f"f{j}" for j in range(FIGURES)]].to_numpy(), (x["key"] == 1).to_numpy(float))
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -277,27 +364,22 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     if model is None:
         return rows.select("key", F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array(shared.value.score(batch.column(1)))], names=["key", "score"])
-
-    kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, score double")
+    z = F.lit(float(model.curve[2][-1]))
+    for j, (centre, spread, w) in enumerate(zip(*(x[:FIGURES].tolist() for x in model.curve), strict=True)):
+        z = z + (F.col(f"f{j}") - F.lit(centre)) / F.lit(spread) * F.lit(w)
+    z = F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))
+    return figures(rows, model).select("key", (1 / (1 + F.exp(-z))).alias("score"))
 
 
 def keep_ordinary(docs: DataFrame, model: Model | None, text: str = "text", cut: float = CUT) -> DataFrame:
     """Rows of ``docs``, all columns, whose score is under ``cut``."""
     if model is None:
         return docs
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(shared.value.score(batch.column(at)) < cut))
-
-    return docs.mapInArrow(run, docs.schema)
+    # The score follows from the text alone, so texts are named by their digests.
+    digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    gone = score(docs.select(digest.alias("_tarn_name"), text), model, "_tarn_name", text).where(F.col("score") >= cut).select("key").distinct()
+    gone = Scratch(docs.sparkSession, "toxicity").put(gone.select(F.col("key").alias("_tarn_gone")), "gone")
+    return docs.join(gone, digest == F.col("_tarn_gone"), "left_anti")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,3 +191,22 @@ def test_chunks_move_with_edits():
     a, b = names(ids), names(other)
     assert len(a & b) > 0.8 * len(a)
     assert all(len(x) <= 4 * tokenstore.MOST for x in names(np.zeros(100_000, np.uint32)))
+
+
+def test_toxicity_scores_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    want = {r.key: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert len(set(want.values())) > 10
+    for name in ("MOST_NODES", "MOST_KNOWN"):
+        monkeypatch.setattr(toxicity, name, 500, raising=False)
+    model = toxicity.fit(docs, labels)
+    assert {r.key: r.score for r in toxicity.score(docs, model).collect()} == pytest.approx(want, abs=1e-9)
+    kept = {r.doc_id for r in toxicity.keep_ordinary(docs, model).collect()}
+    assert kept == {k for k, s in want.items() if s < toxicity.CUT}
+
+
+def test_the_table_of_ratios_places_every_key():
+    keys = np.random.default_rng(0).integers(1, 2**63, 100_000, dtype=np.uint64)
+    values = np.arange(100_000, dtype=np.float32) + 1
+    got, hit = toxicity.Table(keys, values).find(keys)
+    assert hit.all() and (got == values).all()
