@@ -1,7 +1,7 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models of words, one of toxic and one of ordinary text, spell a word symbol by symbol: each symbol's probability
-follows from what has been spelt of the word so far (up to 12 bytes). Counts of what followed a beginning are kept by
+follows from what has been spelt of the word so far (its last 11 bytes, in longer words; all of a word is read). Counts of what followed a beginning are kept by
 class and discounted; what a beginning withholds goes to one distribution that both classes share, made of
 continuation counts (in how many different beginnings a symbol followed the two before it). A rare expression that
 neither class knows is thus spelt alike under both, while a stem that one class uses weighs in all its forms. The
@@ -51,26 +51,63 @@ def _symbols(data: np.ndarray) -> np.ndarray:
 
 
 class Nodes:
-    """The beginnings of words: a row for each of a word's first ``DEEP`` bytes."""
+    """The beginnings of words: a row for each byte. From place ``DEEP`` on, a beginning is known by its last ``DEEP`` bytes."""
 
     def __init__(self, s: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        size = np.minimum(ends - starts, DEEP)
+        size = ends - starts
         first = np.cumsum(size) - size
         place = np.arange(size.sum()) - np.repeat(first, size)
         self.first, self.size, self.place = first, size, place
         sym = s[np.repeat(starts, size) + place]
-        run = np.cumsum(_vec.BYTE[sym] * _vec.PLACE[place], dtype=np.uint64)
+        run = np.cumsum(_vec.BYTE[sym] * _vec.PLACE[np.minimum(place, DEEP)], dtype=np.uint64)
         before = np.concatenate((run[:1] * U(0), run))[np.repeat(first, size)]
         self.key = _vec.mix(run - before + (place + 1).astype(np.uint64))
         self.parent = np.where(place > 0, np.roll(self.key, 1), U(1))
+        deep = np.flatnonzero(place >= DEEP)
+        if len(deep):
+            context = sum(_vec.BYTE[sym[deep - k]] * _vec.PLACE[DEEP + k] for k in range(1, DEEP))
+            self.key[deep], self.parent[deep] = _vec.mix(context + _vec.BYTE[sym[deep]] * _vec.PLACE[DEEP]), _vec.mix(context)
         back = lambda k: np.where(place >= k, np.roll(sym, k), 0).astype(np.uint64)
         self.tri = sym.astype(np.uint64) | back(1) << U(8) | back(2) << U(16)
 
 
+def _unspaced(s: np.ndarray) -> np.ndarray:
+    """First bytes of characters of scripts that put no spaces between words: Han, kana, Thai, Lao, Burmese, Khmer, full-width forms, signs."""
+    at = np.flatnonzero(s[:-2] >= 0xE0) if len(s) > 2 else np.zeros(0, np.int64)
+    lead, second = s[at], s[at + 1]
+    use = (lead >= 0xE3) & (lead <= 0xE9) | (lead >= 0xEF) | (lead == 0xE0) & (second >= 0xB8) & (second <= 0xBB)
+    return at[use | (lead == 0xE1) & ((second >= 0x80) & (second <= 0x82) | (second >= 0x9E) & (second <= 0x9F))]
+
+
 def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Symbols of a slice, its words' hashes, starts and ends, and where each document's words begin."""
+    """Symbols of a slice, its words' hashes, starts and ends, and where each document's words begin.
+
+    In scripts without spaces each character begins a word, of itself and the two after it.
+    """
     s = _symbols(data)
-    return s, *_vec.words(s, offs, _vec.ALNUM, fold=False)
+    at = _unspaced(s)
+    if not len(at):
+        return s, *_vec.words(s, offs, _vec.ALNUM, fold=False)
+    stop = at + np.where(s[at] >= 0xF0, 4, 3)
+    other = s.copy()
+    for k in range(4):
+        other[(at + k)[at + k < stop]] = 32
+    h, starts, ends, _ = _vec.words(other, offs, _vec.ALNUM, fold=False)
+    doc = np.searchsorted(offs, at, "right")
+    end = stop.copy()
+    for _ in range(2):
+        on = np.flatnonzero((stop[:-1] == at[1:]) & (doc[:-1] == doc[1:]))
+        new = stop.copy()
+        new[on] = end[on + 1]
+        end = new
+    size, mine = end - at, np.zeros(len(at), np.uint64)
+    for k in range(int(size.max())):
+        on = size > k
+        mine[on] += _vec.BYTE[s[at[on] + k]] * _vec.PLACE[k]
+    h = np.concatenate((h, _vec.mix(mine + size.astype(np.uint64) * U(0x9E3779B97F4A7C15))))
+    starts, ends = np.concatenate((starts, at)), np.concatenate((ends, end))
+    order = np.argsort(starts, kind="stable")
+    return s, h[order], starts[order], ends[order], np.searchsorted(starts[order], offs)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -210,3 +210,25 @@ def test_the_table_of_ratios_places_every_key():
     values = np.arange(100_000, dtype=np.float32) + 1
     got, hit = toxicity.Table(keys, values).find(keys)
     assert hit.all() and (got == values).all()
+
+
+def test_words_are_spelt_to_their_end_and_unspaced_text_by_characters():
+    def nodes(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return toxicity.Nodes(*toxicity._words(data, np.array([0, len(data)]))[0:1], *toxicity._words(data, np.array([0, len(data)]))[2:4])
+
+    for a, b in (("electromagnetically", "electromagnetism"), ("неприятностями", "неприятность"), ("今天天气很好我们去公园", "今天天气很好我们去学校")):
+        assert set(nodes(a).key.tolist()) != set(nodes(b).key.tolist())
+    # What follows the same bytes in a long word is known again, wherever it stands.
+    assert nodes("x" * 20 + "abcdefghijklmno").key[-1] == nodes("y" * 31 + "abcdefghijklmno").key[-1]
+    data = np.frombuffer("ab 今天很 cd".encode(), np.uint8)
+    _, _, starts, ends, bounds = toxicity._words(data, np.array([0, 6, len(data)]))
+    assert [data[a:b].tobytes().decode() for a, b in zip(starts, ends, strict=True)] == ["ab", "今", "天很", "很", "cd"] and bounds.tolist() == [0, 2, 5]
+
+
+def test_toxic_ends_of_long_words_count(spark):
+    stem = "abcdefghijklmnop"
+    rows = [(k, " ".join([stem + ("qqqq" if k % 2 else "zzzz"), "plain", "words"])) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.key: r.score for r in toxicity.score(docs, toxicity.fit(docs, spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, toxic int"))).collect()}
+    assert all((s > 0.5) == bool(k % 2) for k, s in got.items())
