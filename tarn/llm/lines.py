@@ -1,8 +1,8 @@
 """Line deduplication by a segment-partition edit join.
 
 Lines that are equal, or whose edit distance is at most ``EDITS``, directly or through other lines, form a class; the
-first occurrence (by document id, then line number) stays and every other one goes, wherever it stands. Lines under
-``LEAST`` code points, and blank ones, always stay; lines under ``LEAST_NEAR`` are compared for equality only.
+first occurrence (by document id, then line number) stays and every other one goes, wherever it stands. Blank
+lines always stay; lines under ``LEAST_NEAR`` code points are compared for equality only.
 
 The join: a line of length l is cut into EDITS + 1 segments of nearly equal size. Two lines within EDITS edits share a
 segment of the shorter one, at a place that the length difference and the multi-match bound confine. So a line of
@@ -29,7 +29,7 @@ from ._link import fetches, groups, link, spanning
 from .decontaminate import MAP_BITS, bitmap, has
 from ._store import Scratch
 
-EDITS, LEAST, LEAST_NEAR = 2, 10, 24
+EDITS, LEAST, LEAST_NEAR = 2, 1, 24
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]

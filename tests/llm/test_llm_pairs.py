@@ -268,3 +268,9 @@ def test_query_op9(spark):
     rows = duckdb.sql(f"select vec_id, embedding from '{SF}/embeddings.parquet'").fetchall()
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.op9_embedding_dedup(spark, SF).collect()}
     assert got == brute_vectors(rows)
+
+
+def test_short_lines_that_repeat_go(spark):
+    rows = [(1, "Les.\n\nx\n "), (2, "x\nLes.\nUnd \u00e4be."), (3, "\n \nLes\nUnd \u00e4be.")]
+    got = {r.doc: list(r.dropped) for r in lines.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2: [0, 1], 3: [3]}
