@@ -1,6 +1,7 @@
 """Classifiers on held-out rows, secrets, pieces and the token store against plain references."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -193,18 +194,75 @@ def test_chunks_move_with_edits():
     assert all(len(x) <= 4 * tokenstore.MOST for x in names(np.zeros(100_000, np.uint32)))
 
 
-def test_toxicity_scores_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
+def test_toxicity_scores_do_not_depend_on_blocks_or_what_is_broadcast(spark, monkeypatch):
     docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     want = {r.key: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
     assert len(set(want.values())) > 10
-    for name in ("MOST_NODES", "MOST_KNOWN"):
-        monkeypatch.setattr(toxicity, name, 500, raising=False)
+    monkeypatch.setattr(toxicity, "MOST_KNOWN", 500)
+    monkeypatch.setattr(toxicity, "BLOCK", 700)
     model = toxicity.fit(docs, labels)
     assert {r.key: r.score for r in toxicity.score(docs, model).collect()} == pytest.approx(want, abs=1e-9)
     kept = {r.doc_id for r in toxicity.keep_ordinary(docs, model).collect()}
     assert kept == {k for k, s in want.items() if s < toxicity.CUT}
 
 
+def plain_ratios(counted, words, scale, discount):
+    """Log ratios of words by dictionaries over all beginnings. counted: word -> (o, t)."""
+    nodes, children = {}, {}
+    for word, pair in counted.items():
+        for k in range(1, len(word) + 1):
+            nodes[word[:k]] = [a + b for a, b in zip(nodes.get(word[:k], (0, 0)), pair, strict=True)]
+    for name in nodes:
+        children.setdefault(name[:-1], []).append(name)
+    three = lambda name: (b"\0\0" + name)[-3:]
+    n3, n2, by3, by2 = {}, {}, {}, {}
+    for name in nodes:
+        n3[three(name)] = n3.get(three(name), 0) + 1
+    for x in n3:
+        n2[x[1:]] = n2.get(x[1:], 0) + 1
+        by3.setdefault(x[:2], []).append(n3[x])
+    for x, n in n2.items():
+        by2.setdefault(x[:1], []).append(n)
+
+    def below(x):
+        two = by2[x[1:2]]
+        low = (n2[x[1:]] - 0.75 + 0.75 * len(two) / 256 + 1 / 256) / (sum(two) + 1)
+        return (n3[x] - 0.75 + (0.75 * len(by3[x[:2]]) + 1) * low) / (sum(by3[x[:2]]) + 1)
+
+    def log_ratio(word):
+        total = 0.0
+        for k in range(1, len(word) + 1):
+            known, p = word[:k] in nodes, []
+            for c in (0, 1):
+                under = [nodes[x][c] * scale[c] for x in children.get(word[: k - 1], ())]
+                left, whole = sum(min(x, discount) for x in under) + toxicity.PRIOR, sum(under) + toxicity.PRIOR
+                p.append(max(nodes[word[:k]][c] * scale[c] - discount, 0) / whole + left / whole * below(three(word[:k])) if known else left / whole)
+            total += math.log(p[1] / p[0])
+        return total
+
+    return {w: log_ratio(w) for w in words}
+
+
+def test_word_ratios_equal_plain_ones(spark, tmp_path, monkeypatch):
+    from tarn.llm._store import Scratch
+
+    r = random.Random(5)
+    word = lambda: bytes(r.choice(b"abc") for _ in range(r.randint(1, 9)))
+    counted = {word(): (r.randint(0, 6), r.randint(0, 2)) for _ in range(900)}
+    counted = {w: c for w, c in counted.items() if sum(c)}
+    asked = {word(): r.randint(1, 4) for _ in range(700)}
+    rows = [(w, *c, 0) for w, c in counted.items()] + [(w, 0, 0, n) for w, n in asked.items()] + [(b"abc", 0, 0, 1)] * 5
+    asked[b"abc"] = asked.get(b"abc", 0) + 5
+    o, t = (sum(c[k] * len(w) for w, c in counted.items()) for k in (0, 1))
+    few = [sum(c[o > t] == k for c in counted.values()) for k in (1, 2)]
+    want = plain_ratios(counted, asked, [min(1.0, min(o, t) / x) for x in (o, t)], few[0] / (few[0] + 2 * few[1]))
+    names = lambda w: int(toxicity.Nodes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)])).name.view(np.int64)[0])
+    for block in (50_000, 37):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        got = {x.w: (x.r, x.n) for x in toxicity.ratios(spark.createDataFrame(rows, toxicity.VOCABULARY), Scratch(spark, "test")).collect()}
+        assert len(got) == len(want) and all(got[names(w)] == (pytest.approx(v, abs=1e-9), asked[w]) for w, v in want.items())
+
+
 def test_the_table_of_ratios_places_every_key():
     keys = np.random.default_rng(0).integers(1, 2**63, 100_000, dtype=np.uint64)
     values = np.arange(100_000, dtype=np.float32) + 1
@@ -219,8 +277,8 @@ def test_words_are_spelt_to_their_end_and_unspaced_text_by_characters():
 
     for a, b in (("electromagnetically", "electromagnetism"), ("неприятностями", "неприятность"), ("今天天气很好我们去公园", "今天天气很好我们去学校")):
         assert set(nodes(a).key.tolist()) != set(nodes(b).key.tolist())
-    # What follows the same bytes in a long word is known again, wherever it stands.
-    assert nodes("x" * 20 + "abcdefghijklmno").key[-1] == nodes("y" * 31 + "abcdefghijklmno").key[-1]
+    # A long run is spelt in pieces.
+    assert nodes("x" * 70).size.tolist() == [32, 32, 6] and nodes("x" * 64 + "abc").key[-1] == nodes("abc").key[-1]
     data = np.frombuffer("ab 今天很 cd".encode(), np.uint8)
     _, _, starts, ends, bounds = toxicity._words(data, np.array([0, 6, len(data)]))
     assert [data[a:b].tobytes().decode() for a, b in zip(starts, ends, strict=True)] == ["ab", "今", "天很", "很", "cd"] and bounds.tolist() == [0, 2, 5]
