@@ -12,15 +12,18 @@ Encoding composes the input with N, L and M and takes the path of least weight i
 path, minimum over paths). The composition's states are (place, last piece); under M every place has one finite state,
 which the recursion finds from the left. No piece holds a space mark after another symbol, so composition falls apart at
 those places: chunks are solved together, many at a time, as arrays, and each worker remembers a bounded number of them.
+Chunks of more than ``LONG`` symbols (text without spaces) are solved one by one, in memory linear in their length.
 
 Decoding is the inverse: ids to their bytes, space marks to spaces, without the space put before the text.
 
 Defined cases: null text is empty, an empty text has no ids; ids outside the vocabulary are an error; a model whose
-character map isn't the identity is normalised by the library's own table; other columns are ignored.
+character map isn't the identity is normalised by the library's own table; long texts and texts without any space are
+ordinary; repeated rows are encoded alike; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import array
 import functools
 import re
 import zlib
@@ -36,7 +39,8 @@ from ._memo import Memo
 from ._store import bound_batches
 
 MARK = "▁"
-MEMO = 800_000
+#: Chunks that a worker remembers, and the symbols up to which chunks are solved together and remembered.
+MEMO, LONG, PART = 800_000, 64, 1 << 16
 U = np.uint64
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 
@@ -223,6 +227,53 @@ class Transducer:
             out.append(np.array(ids[::-1], np.int32).tobytes())
         return out
 
+    def solve_long(self, chunk: str) -> bytes:
+        """Ids of one normalised chunk of any length: arcs are looked up by parts, states are kept for each place only."""
+        n, weight, last, back = len(chunk), [0.0], array.array("i", [-1]), array.array("q", [0])
+        known: dict[int, bool] = {}
+        for lo in range(0, n, PART):
+            hi = min(n, lo + PART)
+            begin = max(0, lo + 1 - self.longest)
+            marks = _vec.mix(np.frombuffer(chunk[begin:hi].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + U(1))
+            name, ends, widths, ids = np.zeros(len(marks), np.uint64), [], [], []
+            for w in range(1, min(self.longest, len(marks)) + 1):
+                name = name[: len(marks) - w + 1] + marks[w - 1 :] * _vec.PLACE[w - 1]
+                got = self.lexicon.find(name + U(w))
+                at = np.flatnonzero((got >= 0) | (w == 1))
+                at = at[at + begin + w > lo]
+                ends.append(at + begin + w)
+                widths.append(np.full(len(at), w))
+                ids.append(got[at])
+            ends, widths, ids = (np.concatenate(x) for x in (ends, widths, ids))
+            order = np.lexsort((-widths, ends))
+            for j, w, got in zip(ends[order].tolist(), widths[order].tolist(), ids[order].tolist(), strict=True):
+                if len(weight) == j:
+                    weight.append(np.inf)
+                    last.append(-1)
+                    back.append(0)
+                before = weight[j - w]
+                if before == np.inf or self.merges and weight[j] != np.inf:
+                    continue
+                if not self.merges:
+                    cost = before + (self.penalty if got < 0 else -self.score[got])
+                else:
+                    left, cost = last[j - w], 0.0
+                    if left >= 0 and got >= 0:
+                        pair = left << 24 | got
+                        if pair not in known:
+                            if len(known) > 1 << 20:
+                                known.clear()
+                            known[pair] = self._pair(left, got)
+                        if not known[pair]:
+                            continue
+                if cost < weight[j]:
+                    weight[j], last[j], back[j] = cost, got, j - w
+        path, j = array.array("i"), n
+        while j > 0:
+            path.extend((last[j],) if last[j] >= 0 else self.fallback(chunk[j - 1])[::-1])
+            j = back[j]
+        return path[::-1].tobytes()
+
     @functools.cached_property
     def weights(self) -> np.ndarray:
         return np.array([self.score.get(k, 0.0) for k in range(len(self.pieces))])
@@ -257,8 +308,11 @@ class Transducer:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if self.apart else re.compile("(?s).+")
         chunks = [split.findall(self.normalise(t)) for t in texts]
-        get = self.memo.table(set().union(*chunks), self.make).__getitem__
-        return [np.frombuffer(b"".join(map(get, c)), np.int32) for c in chunks]
+        wanted = set().union(*chunks)
+        long = {c for c in wanted if len(c) > LONG}
+        table = self.memo.table(wanted - long, self.make)
+        table.update((c, self.solve_long(c)) for c in long)
+        return [np.frombuffer(b"".join(map(table.__getitem__, c)), np.int32) for c in chunks]
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
