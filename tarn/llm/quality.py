@@ -7,8 +7,8 @@ sparse dot product. Training passes ``EPOCHS`` times over at most ``TRAIN_ROWS``
 where there are, corrected for that choice by the prior of all labelled rows; the model is a fixed 4 MB.
 
 Defined cases: a text without words (null, empty, white space) gets the share of label 1 among the labelled rows, as
-does every text where one label is missing altogether; several labels of a row: the largest counts; rows with a null
-label aren't learnt from; columns besides key and text are ignored.
+does every text where one label is missing altogether; several labels of a row: 1 counts if it is among them; a label
+that isn't 1 is as good as 0; rows with a null label aren't learnt from; repeated rows are scored alike; columns besides key and text are ignored.
 """
 
 from __future__ import annotations
@@ -117,7 +117,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """A model from labelled rows, but for those of held-out fold 1."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    marks = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("y")).where("key is not null and y is not null")
+    marks = labels.select(F.col(key).alias("key"), (F.col(label) == 1).cast("int").alias("y")).where("key is not null and y is not null")
     marks = marks.groupBy("key").agg(F.max("y").alias("y")).where(fold(F.col("key"), 3) != 1)
     tally = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = tally.get(1, 0) / max(1, sum(tally.values()))
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     idx, val = (c.values.to_numpy() for c in cut)
     weights, bias = train([(int(y[k] == 1), idx[a:b], val[a:b]) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))])
     seen = (y == 1).mean()
-    return Model(weights, bias + float(np.log(share / (1 - share)) - np.log(seen / (1 - seen))) / 2, share)
+    return Model(weights, bias + float(np.log(share / (1 - share)) - np.log(seen / (1 - seen))), share)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
