@@ -10,23 +10,28 @@ number of documents that hold it. The format is three Parquet tables in one fold
 * ``documents``: in ascending id order: doc_id, segment, start (ids of all documents before it), number of ids, root.
 
 A document's root is the Merkle root over its chunk names; ``manifest`` holds each segment's root over its documents'
-roots, so that any part can be verified alone. Reading back decodes every chunk, names it anew from its ids, and
-derives lengths, checksums (CRC-32s of chunks combine) and roots from what was read.
+roots, so that any part can be verified alone. Reading back decodes every chunk, names it anew from its ids, derives
+lengths, checksums (CRC-32s of chunks combine) and roots from what was read, and holds the segments' roots against the
+manifest.
 
-Defined cases: null text is empty (the end id alone); equal ids order by root; rows with a null id come first; an empty
-table gives an empty store; other columns are ignored.
+Texts of byte-level models are cut where their pre-tokenizer always cuts. Each piece is encoded by the library once and
+then known by a 64-bit hash of its characters; texts that hold an added token (or have 2**20 characters or more) go to the library whole.
+
+Defined cases: null text is empty (the end id alone); equal ids order by root; rows with a null id come first; repeated
+rows are documents of their own; a vocabulary that doesn't fit ``width`` is an error; an empty table gives an empty
+store; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import array
 import functools
 import hashlib
+import itertools
 import os
 import re
-import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,65 +43,131 @@ from . import _vec
 from ._store import Scratch
 
 MEAN_BITS, LEAST, MOST, SPAN = 10, 128, 8192, 8
-MEMO = 300_000
+MEMO, GIVEN = 600_000, 200_000
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(4242))
 GEAR = _rng.integers(0, 2**64, 1 << 16, dtype=np.uint64)
-#: White space as the pre-tokenizer sees it.
-SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Characters that are letters or digits in every Unicode version, and ASCII's marks.
-ALNUM, PUNCT = "A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "!-/:-@\\[-`{-~"
-#: Places where the pre-tokenizer always cuts: between alphanumerics and marks (an apostrophe stays with what follows),
-#: before white space, and before the last white space of a run. What is not clearly either stays with its neighbours.
-PIECE = re.compile(
-    f"(?:'| ?)[{ALNUM}]+(?=[{PUNCT}{SPACE}]|\\Z)"
-    f"|(?!'[{ALNUM}]) ?[{PUNCT}]+(?=[{ALNUM}{SPACE}]|\\Z)"
-    f"| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]"
-)
-
-
+#: White space as the pre-tokenizer sees it.
+SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: Classes of characters: what is clearly a letter (in every Unicode version), a digit of ASCII or a mark of ASCII; the rest is unclear.
+UNCLEAR, SPACE, ALPHA, DIGIT, PUNCT = range(5)
+CLASS = np.zeros(0x3002, np.uint8)
+CLASS[33:127] = PUNCT
+for _lo, _hi in ((65, 91), (97, 123), (0xC0, 0xD7), (0xD8, 0xF7), (0xF8, 0x250)):
+    CLASS[_lo:_hi] = ALPHA
+CLASS[48:58] = DIGIT
+CLASS[SPACES] = SPACE
+#: Whether the pre-tokenizer always cuts between two characters that aren't white space, by class: what is unclear stays with its neighbours.
+APART = np.zeros(25, bool)
+for _one in (ALPHA, DIGIT, PUNCT):
+    for _two in (ALPHA, DIGIT, PUNCT):
+        APART[5 * _one + _two] = _one != _two
 #: A run of letters, digits or marks, with at most one space before it, and the characters that byte-level models show bytes as.
-WORD = re.compile(f" ?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]+|[{PUNCT}]+)")
+WORD = re.compile(" ?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]+|[!-/:-@\\[-`{-~]+)")
 _shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
 LETTER = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _shown)}
 
 
-class Encoder(dict):
-    """The library's ids of pieces, kept in two bounded generations: each piece is encoded by the library when it is new."""
+def piece_starts(cps: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Places where a piece begins: a subset of the places where the pre-tokenizer cuts. offs: where documents begin, and the end.
+
+    It cuts before white space, before the last white space of a run (if something follows), after white space that is
+    no space, and between letters, digits and marks, but that an apostrophe may go with the letters after it.
+    """
+    n = len(cps)
+    c = CLASS[np.minimum(cps, 0x3001)]
+    space = c == SPACE
+    cut = np.empty(n, bool)
+    cut[1:] = APART[5 * c[:-1] + c[1:]] & ((cps[:-1] != 39) | (c[1:] == PUNCT))
+    cut[1:] |= space[1:] & ~space[:-1]
+    cut[1:] |= space[:-1] & ~space[1:] & (cps[:-1] != 32)
+    first = offs[:-1][offs[:-1] < offs[1:]]
+    ends = np.zeros(n + 1, bool)
+    ends[first], ends[n] = True, True
+    last = space & ~ends[1:]  # the last white space of a run that something follows
+    last[:-1] &= ~space[1:]
+    cut[1:] |= last[1:] & space[:-1]
+    cut[first] = True
+    return np.flatnonzero(cut)
+
+
+class Encoder:
+    """The library's ids of texts. A piece is encoded by the library when it is new; a bounded memo keeps its ids."""
 
     def __init__(self, path: str, end: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.old: dict[str, bytes] = {}
         self.tokenizer = parts = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.end = struct.pack("<I", end)
-        # Only then the model sees just the bytes of a word.
-        self.plain = parts.normalizer is None and type(parts.pre_tokenizer).__name__ == "ByteLevel" and not parts.pre_tokenizer.add_prefix_space and type(parts.model).__name__ == "BPE"
+        self.end = end
+        #: Texts that hold one of these go to the library as they are.
+        self.added = [t.content for t in parts.get_added_tokens_decoder().values()]
+        pre = parts.pre_tokenizer
+        #: Whether texts may be cut into pieces, and the model sees just the bytes of a word.
+        self.plain = parts.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and getattr(pre, "use_regex", True) and type(parts.model).__name__ == "BPE"
         self.model = parts.model
+        self.forget()
+
+    def forget(self) -> None:
+        self.at: dict[int, int] = {}  # name of a piece: place of its ids in the pool, and their number in the low 20 bits
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, self.end], np.uint32)
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = self.make(piece)
-        if len(self) >= MEMO:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = ids
-        return ids
-
-    def make(self, piece: str) -> bytes:
+    def make(self, piece: str) -> list[int]:
         """Letters, digits or marks alone are one word to the pre-tokenizer, which goes to the library's model directly."""
-        if self.plain and WORD.fullmatch(piece):
+        if WORD.fullmatch(piece):
             shown = piece.replace(" ", "\u0120") if piece.isascii() else piece.encode().decode("latin-1").translate(LETTER)
-            return array.array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-        return array.array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
-
-    def ids(self, text: str) -> np.ndarray:
-        """Ids of a text, with the end id."""
-        return np.frombuffer(b"".join(map(self.__getitem__, PIECE.findall(text))) + self.end, np.uint32)
+            return [t.id for t in self.model.tokenize(shown)]
+        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+
+    def _places(self, names: np.ndarray, pieces: Callable[[int], str]) -> np.ndarray:
+        if len(self.at) > MEMO:
+            self.forget()
+        keys = names.tolist()
+        out = np.fromiter(map(self.at.get, keys, repeat(-1)), np.int64, len(keys))
+        for k in np.flatnonzero(out < 0).tolist():
+            ids = self.make(pieces(k))
+            while self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate((self.pool, self.pool * 0))
+            self.pool[self.used : self.used + len(ids)] = ids
+            out[k] = self.at[keys[k]] = self.used << 20 | len(ids)
+            self.used += len(ids)
+        return out
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after another, each with the end id, and where each text's begin (one more at the end)."""
+        special = [not self.plain or len(t) >= 1 << 20 or any(map(t.__contains__, self.added)) for t in texts]
+        text = "".join("" if s else t for t, s in zip(texts, special, strict=True))
+        offs = np.concatenate(([0], np.cumsum([0 if s else len(t) for t, s in zip(texts, special, strict=True)]))).astype(np.int64)
+        if not text:
+            flat, counts = np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        else:
+            cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            start = piece_starts(cps, offs)
+            size = np.diff(np.append(start, len(cps)))
+            place = np.arange(len(cps)) - np.repeat(start, size)
+            name = np.add.reduceat((cps.astype(np.uint64) + U(1)) * _vec.PLACE[place & (len(_vec.PLACE) - 1)], start)
+            name = _vec.mix(name + size.astype(np.uint64) * U(0x9E3779B97F4A7C15))
+            names, first, inv = np.unique(name, return_index=True, return_inverse=True)
+            got = self._places(names, lambda k: text[start[first[k]] : start[first[k]] + size[first[k]]])[inv]
+            n = got & 0xFFFFF
+            stop = np.cumsum(n)
+            flat = self.pool[np.repeat((got >> 20) - (stop - n), n) + np.arange(stop[-1])]
+            counts = np.diff(np.concatenate(([0], stop))[np.searchsorted(start, offs)])
+        parts, at = [], 0
+        if any(special):
+            for t, s, n in zip(texts, special, counts.tolist(), strict=True):
+                parts.append(self.whole(t) if s else np.append(flat[at : at + n], np.uint32(self.end)))
+                at += n
+            return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+        bounds = np.concatenate(([0], np.cumsum(counts + 1)))
+        out = np.full(bounds[-1], self.end, np.uint32)
+        keep = np.ones(len(out), bool)
+        keep[bounds[1:] - 1] = False
+        out[keep] = flat
+        return out, bounds
 
 
 @functools.lru_cache(2)
@@ -108,29 +179,32 @@ def encoder(path: str, end: int) -> Encoder:
 _vec.MEMOS.append(encoder.cache_clear)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream."""
+def cuts(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
+    """Ends of the chunks of each id stream [bounds[k], bounds[k + 1]), as places in ``ids``."""
     n = len(ids)
-    if n <= LEAST:
-        return [n]
     g = GEAR[ids & np.uint32(0xFFFF)]
     h = np.zeros(n, np.uint64)
-    for k in range(SPAN):
+    for k in range(min(SPAN, n)):
         h[SPAN - 1 :] += g[SPAN - 1 - k : n - k] << U(k * 5)
     h = (h ^ (h >> U(29))) * U(0xBF58476D1CE4E5B9)
-    may = np.flatnonzero(h[: n - 1] >> U(64 - MEAN_BITS) == 0) + 1
-    out, last = [], 0
-    for c in may.tolist():
-        while c - last > MOST:
+    # The first places of a stream see the one before it, but no chunk is so short.
+    may = np.flatnonzero(h >> U(64 - MEAN_BITS) == 0) + 1
+    within, may = np.searchsorted(may, bounds).tolist(), may.tolist()
+    out = []
+    for k, (last, end) in enumerate(itertools.pairwise(bounds.tolist())):
+        mine = []
+        for c in may[within[k] : within[k + 1]]:
+            while c - last > MOST:
+                last += MOST
+                mine.append(last)
+            if c - last >= LEAST and end - c >= LEAST // 2:
+                mine.append(c)
+                last = c
+        while end - last > MOST:
             last += MOST
-            out.append(last)
-        if c - last >= LEAST and n - c >= LEAST // 2:
-            out.append(c)
-            last = c
-    while n - last > MOST:
-        last += MOST
-        out.append(last)
-    return [*out, n]
+            mine.append(last)
+        out.append([*mine, end])
+    return out
 
 
 def merkle(names: list[bytes]) -> bytes:
@@ -174,30 +248,33 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, id_col: str =
     kind = np.uint16 if width == 2 else np.uint32
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, pack = encoder(tokenizer, end).ids, zstandard.ZstdCompressor(level=1)
+        machine, pack = encoder(tokenizer, end), zstandard.ZstdCompressor(level=1)
+        if width == 2 and max(machine.tokenizer.get_vocab_size(), end + 1) > 1 << 16:
+            raise ValueError("ids of this vocabulary take more than two bytes")
         given: set[bytes] = set()
         fields = pa.struct([("name", pa.binary()), ("n", pa.int32()), ("ids", pa.binary())])
         for batch in batches:
             for lo, hi, _, _ in _vec.slices(batch.column(1)):
                 part = batch.slice(lo, hi - lo)
-                n, roots, recipes, fresh = [], [], [], []
-                for text in part.column(1).to_pylist():
-                    ids = ids_of(text or "")
-                    names, new, a = [], [], 0
-                    for b in cuts(ids):
-                        chunk = ids[a:b]
-                        name = hashlib.sha256(chunk.tobytes()).digest()
+                ids, bounds = machine.ids([t or "" for t in part.column(1).to_pylist()])
+                body, small = memoryview(ids).cast("B"), memoryview(ids.astype(kind)).cast("B")
+                roots, recipes, fresh = [], [], []
+                for a, ends in zip(bounds.tolist(), cuts(ids, bounds), strict=False):
+                    names, new = [], []
+                    for b in ends:
+                        name = hashlib.sha256(body[4 * a : 4 * b]).digest()
                         names.append(name)
                         if name not in given:
                             given.add(name)
-                            new.append({"name": name, "n": b - a, "ids": pack.compress(chunk.astype(kind).tobytes())})
+                            new.append({"name": name, "n": b - a, "ids": pack.compress(small[width * a : width * b])})
                         a = b
-                    n.append(len(ids))
                     roots.append(merkle(names))
                     recipes.append(names)
                     fresh.append(new)
+                if len(given) > GIVEN:  # what is given out again is found equal later
+                    given.clear()
                 yield pa.record_batch(
-                    [part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(roots, pa.binary()), pa.array(recipes, pa.list_(pa.binary())), pa.array(fresh, pa.list_(fields))],
+                    [part.column(0).cast(pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(roots, pa.binary()), pa.array(recipes, pa.list_(pa.binary())), pa.array(fresh, pa.list_(fields))],
                     names=["doc_id", "n_tokens", "root", "names", "fresh"],
                 )
 
@@ -221,11 +298,16 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, id_col: str =
     before = Window.partitionBy("segment").orderBy(F.col("doc_id").asc_nulls_first(), "root").rowsBetween(Window.unboundedPreceding, -1)
     located = placed.join(F.broadcast(bases), "segment").withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     located.select("doc_id", "segment", "start", "n_tokens", "root").write.mode("overwrite").parquet(f"{folder}/documents")
-    written = spark.read.parquet(f"{folder}/documents").select("segment", "start", "root").repartition("segment").sortWithinPartitions("segment", "start")
-    written.mapInArrow(_segment_roots, "segment int, n_documents bigint, root binary").write.mode("overwrite").parquet(f"{folder}/manifest")
+    _segments(spark.read.parquet(f"{folder}/documents")).write.mode("overwrite").parquet(f"{folder}/manifest")
     scratch.drop("staged", "placed")
 
 
+def _segments(documents: DataFrame) -> DataFrame:
+    """(segment, n_documents, root) of each segment of the documents' table."""
+    rows = documents.select("segment", "start", "root").repartition("segment").sortWithinPartitions("segment", "start")
+    return rows.mapInArrow(_segment_roots, "segment int, n_documents bigint, root binary")
+
+
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last = None
     for batch in batches:
@@ -296,8 +378,12 @@ def read_back(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
     parts = steps.join(chunks, "name").groupBy("root").agg(F.array_sort(F.collect_list(F.struct("place", "name", "n", "crc"))).alias("parts"))
     known = parts.mapInArrow(_recipes, "root binary, n bigint, crc bigint, verified boolean")
     docs = spark.read.parquet(f"{folder}/documents")
-    out = docs.join(known, "root", "left")
-    good = F.coalesce(F.col("verified") & (F.col("n") == F.col("n_tokens")), F.lit(False))
+    # A segment's root, made anew from its documents' roots, has to be the manifest's; there are as many as partitions.
+    again = _segments(docs).withColumnsRenamed({"root": "found", "n_documents": "has"})
+    segments = again.join(F.broadcast(spark.read.parquet(f"{folder}/manifest")), "segment", "left")
+    whole = segments.select("segment", F.coalesce((F.col("found") == F.col("root")) & (F.col("has") == F.col("n_documents")), F.lit(False)).alias("whole"))
+    out = docs.join(known, "root", "left").join(F.broadcast(whole), "segment")
+    good = F.coalesce(F.col("verified") & (F.col("n") == F.col("n_tokens")), F.lit(False)) & F.col("whole")
     return out.select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"), good.alias("verified"))
 
 

@@ -117,6 +117,23 @@ def test_pieces_equal_the_library(spark):
     assert pieces.op2_sentencepiece(spark, SMALL).where("not round_trip").count() == 0
 
 
+def test_long_texts_without_spaces_take_little_memory():
+    import resource
+
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    machine, library = pieces.Transducer(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    r = random.Random(4)
+    for letters in ("etaoinshrdlu", "的一是不了人我在有他这中大来上国", "оеаинтсрвлкмдпуяызьб"):
+        text = "".join(r.choice(letters) for _ in range(200_000))
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        (ids,) = machine.encode([text])
+        assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400 << 10
+        assert ids.tolist() == library.encode(text) and machine.decode(ids) == text
+
+
 def test_unigram_paths_have_least_weight():
     import public_tokenizers
 
@@ -140,6 +157,7 @@ def test_unigram_paths_have_least_weight():
         known = [c for c in text if c not in t.id_of]
         got = sum(-t.score[k] for k in ids if k in t.score) + t.penalty * len(known)
         assert got == pytest.approx(best(text))
+        assert np.frombuffer(t.solve_long(text), np.int32).tolist() == ids
 
 
 def test_the_token_store(spark, tmp_path):
@@ -148,9 +166,8 @@ def test_the_token_store(spark, tmp_path):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     shared = "a passage that is in both of these texts, word for word " * 60
-    texts = odd_texts(3, 150) + ["alpha " * 300 + shared, "beta " * 200 + shared, None, "same", "same"]
+    texts = odd_texts(3, 150) + ["hello <|endoftext|> world", "a<|endoftext|>", "x " * 600_000, "no <|endoftext| here", "alpha " * 300 + shared, "beta " * 200 + shared, None, "same", "same"]
     docs = spark.createDataFrame([(1000 - k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     folder = f"file://{tmp_path}/store"
     tokenstore.write(docs, folder, path, end=2)
@@ -184,14 +201,44 @@ def test_chunks_move_with_edits():
     r = np.random.default_rng(0)
     ids = r.integers(0, 50_000, 40_000).astype(np.uint32)
     other = np.concatenate((ids[:9000], ids[9003:]))
+    both = np.concatenate((other[:100], ids))
 
     def names(x):
-        ends = tokenstore.cuts(x)
+        ends = tokenstore.cuts(x, np.array([0, len(x)]))[0]
         return {x[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)}
 
     a, b = names(ids), names(other)
     assert len(a & b) > 0.8 * len(a)
     assert all(len(x) <= 4 * tokenstore.MOST for x in names(np.zeros(100_000, np.uint32)))
+    # A stream's cuts don't depend on what is before it.
+    alone, after = tokenstore.cuts(ids, np.array([0, 40_000]))[0], tokenstore.cuts(both, np.array([0, 100, 40_100]))
+    assert after == [[100], [100 + c for c in alone]]
+
+
+def test_pieces_join_to_the_librarys_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, machine = Tokenizer.from_file(path), tokenstore.Encoder(path, 2)
+    r = random.Random(9)
+    odd = "a b'sDé9 0½²ªʰ\t\n\r\u00a0\u2003\u0301\u3000.,'\"-!€日😀ßŒ\x1c\x85_İǅ٣"
+    texts = ["".join(r.choice(odd) for _ in range(r.randint(0, 30))) for _ in range(6000)] + ["it's I'll 's '' 'S don't'x '1 ''s .'re", "<|endoftext|>", "a" * 70_000, ""]
+    ids, bounds = machine.ids(texts)
+    for text, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+        assert ids[a:b].tolist() == [*library.encode(text, add_special_tokens=False).ids, 2], text
+
+
+def test_a_changed_manifest_is_found(spark, tmp_path):
+    import public_tokenizers
+
+    folder = f"file://{tmp_path}/store"
+    docs = spark.createDataFrame([(1, "one text here"), (2, "another text there")], "doc_id long, text string")
+    tokenstore.write(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), end=2)
+    assert all(r.verified for r in tokenstore.read_back(spark, folder).collect())
+    rows = [(r.segment, r.n_documents, b"x" * 32) for r in spark.read.parquet(f"{folder}/manifest").collect()]
+    spark.createDataFrame(rows, "segment int, n_documents bigint, root binary").write.mode("overwrite").parquet(f"{folder}/manifest")
+    assert not any(r.verified for r in tokenstore.read_back(spark, folder).collect())
 
 
 def test_toxicity_scores_do_not_depend_on_blocks_or_what_is_broadcast(spark, monkeypatch):
