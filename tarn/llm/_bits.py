@@ -12,18 +12,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import _vec
-from .decontaminate import _bits, bitmap, has
+from .decontaminate import bitmap, has
 
 
 def of(ids: DataFrame) -> np.ndarray:
     """The bitmap of a one-column table of bigint ids."""
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(np.concatenate(_bits(_vec.mix(batch.column(0).to_numpy().view(np.uint64)))))
-            yield pa.record_batch([pa.array([at.tolist()], pa.list_(pa.int64()))], names=["v"])
+            yield pa.record_batch([pa.array(_vec.signed(_vec.mix(batch.column(0).to_numpy().view(np.uint64))))], names=["h"])
 
-    return bitmap(ids.mapInArrow(places, "v array<bigint>"), "v")
+    return bitmap(ids.mapInArrow(names, "h bigint"))
 
 
 def may_hold(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:

@@ -110,6 +110,34 @@ def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray = WORD, fold: bo
     return h, starts, ends, np.searchsorted(starts, offs)
 
 
+def unspaced(s: np.ndarray) -> np.ndarray:
+    """First bytes of characters of scripts that put no spaces between words: Han, kana, Thai, Lao, Burmese, Khmer, full-width forms, signs."""
+    at = np.flatnonzero(s[:-2] >= 0xE0) if len(s) > 2 else np.zeros(0, np.int64)
+    lead, second = s[at], s[at + 1]
+    use = (lead >= 0xE3) & (lead <= 0xE9) | (lead >= 0xEF) | (lead == 0xE0) & (second >= 0xB8) & (second <= 0xBB)
+    return at[use | (lead == 0xE1) & ((second >= 0x80) & (second <= 0x82) | (second >= 0x9E) & (second <= 0x9F))]
+
+
+def units(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``words`` of letters and digits, but that each character of a script without spaces is a word of its own."""
+    s = LOWER[data]
+    at = unspaced(s)
+    if not len(at):
+        return words(s, offs, ALNUM, fold=False)
+    size = np.where(s[at] >= 0xF0, 4, 3)
+    size = np.minimum(size, len(s) - at)
+    other, mine = s.copy(), np.zeros(len(at), np.uint64)
+    for k in range(4):
+        on = size > k
+        mine[on] += BYTE[s[at[on] + k]] * PLACE[k]
+        other[at[on] + k] = 32
+    h, starts, ends, _ = words(other, offs, ALNUM, fold=False)
+    h = np.concatenate((h, mix(mine + size.astype(np.uint64) * U(0x9E3779B97F4A7C15))))
+    starts, ends = np.concatenate((starts, at)), np.concatenate((ends, at + size))
+    order = np.argsort(starts, kind="stable")
+    return h[order], starts[order], ends[order], np.searchsorted(starts[order], offs)
+
+
 STEP = _rng.integers(0, 2**64, 64, dtype=np.uint64) | U(1)
 
 

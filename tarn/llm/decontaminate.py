@@ -1,21 +1,28 @@
 """Benchmark decontamination: CGK embeddings, bit-sampling LSH and exact edit distance, over words.
 
 A document leaks an item if some run of its words is within ``RATE`` of the item's words in edit distance (words are
-folded runs of letters, digits and bytes beyond ASCII). The steps, each of which can only drop what can't be a leak:
-
-1. An item of m words that suffers k edits keeps one of k + 1 equal segments whole. A bitmap of fixed size marks the
-   items' word runs of that length (four words, fewer for short items); regions of documents around marked runs stay.
-2. Windows of item size (the powers of two up to the item's length) start at every word of a region. A CGK random walk
-   embeds window and item so that edit distance shows as Hamming distance: at step j the current word is put out, and
-   a random bit of (j, word) says whether to move on. Each of ``REPEATS`` walks samples ``BITS`` places; equal samples
-   make a key. A window's keys, thinned by a bitmap of the items' keys, are joined with the items' keys.
+folded runs of letters, digits and bytes beyond ASCII; in scripts without spaces each character is a word). The steps,
+each of which can only drop what can't be a leak:
+
+1. An item of m words that suffers k edits keeps one of k + 1 equal segments whole. A bitmap marks the items' word runs
+   of that length (four words, fewer for short items); regions of documents around marked runs stay.
+2. An item is covered by windows: of the power of two up to its length, ``WIDEST`` words at most, side by side, the last
+   one at its end. One of them has no more than its share of the edits. Windows of these sizes start at every word of a
+   region. A CGK random walk embeds both so that edit distance shows as Hamming distance: at step j the current word is
+   put out, and a random bit of (j, word) says whether to move on. Each of ``REPEATS`` walks samples ``BITS`` places;
+   equal samples make a key. A window's keys, thinned by a bitmap of the items' keys, are joined with the items' keys.
+   With 20 % of the words edited an item is found with a probability of 0.99 or more, whatever its length.
 3. Candidates are verified by the bit-parallel edit distance of the whole item against the region.
 
-Only the two bitmaps (1 MB each, whatever the inputs) travel to all executors; items are joined, so a large benchmark
-is shuffled like any table.
+Items of fewer than five words allow no edit and are found by a hash of all their words; ``least_words`` leaves out
+items that are too short to be evidence.
 
-Defined cases: null or empty texts and items leak nothing; items of fewer than ``LEAST_WORDS`` words are no evidence
-and match nothing; repeated rows give one result; null ids are left out; columns besides id and text are ignored.
+Only the two bitmaps travel to all executors (16 bits for each mark, 8 MB each at most); items are joined, so a large
+benchmark is shuffled like any table.
+
+Defined cases: null or empty texts and items leak nothing; repeated rows give one result; null ids are left out; of
+equally good places the first counts; very long texts and items are ordinary; an empty table gives an empty result;
+columns besides id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +37,9 @@ from pyspark.sql import functions as F
 from . import _vec
 from ._store import Scratch
 
-RATE, LEAST_WORDS, REPEATS, BITS, MAP_BITS = 0.2, 5, 24, 3, 23
+RATE, REPEATS, BITS, WIDEST = 0.2, 24, 3, 64
+#: Bitmaps have 2 ** MAP_BITS bits, if not said otherwise, and 2 ** MOST_BITS at most.
+MAP_BITS, MOST_BITS = 23, 26
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(1234))
 WALK = _rng.integers(0, 2**64, REPEATS, dtype=np.uint64)
@@ -46,8 +55,15 @@ def run_length(m: int) -> int:
     return min(4, m // (edits(m) + 1))
 
 
-def size_class(m: int) -> int:
-    return 1 << (m.bit_length() - 1)
+def window(m: int) -> int:
+    """The size of the windows of an item of m words; 0 if it allows no edit."""
+    return min(WIDEST, 1 << (m.bit_length() - 1)) if edits(m) else 0
+
+
+def offsets(m: int) -> np.ndarray:
+    """Where the windows of an item of m words begin."""
+    w = window(m)
+    return np.unique(np.append(np.arange(0, m - w + 1, w), m - w)) if w else np.zeros(1, np.int64)
 
 
 def samples(size: int) -> np.ndarray:
@@ -75,76 +91,85 @@ def cgk_keys(tokens: np.ndarray, starts: np.ndarray, stops: np.ndarray, size: in
     return out
 
 
-def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two places that a hash marks in a bitmap."""
-    return (h >> U(64 - MAP_BITS)).astype(np.int64), (h >> U(64 - 2 * MAP_BITS) & U((1 << MAP_BITS) - 1)).astype(np.int64)
+def _bits(h: np.ndarray, bits: int = MAP_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """The two places that a hash marks in a bitmap of 2 ** bits bits."""
+    return (h >> U(64 - bits)).astype(np.int64), (h >> U(64 - 2 * bits) & U((1 << bits) - 1)).astype(np.int64)
 
 
 def _runs(h: np.ndarray, n: int) -> np.ndarray:
     return _vec.mix(_vec.grams(h, n) + U(n))
 
 
-def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(item, text) to (item, m, tokens, marks, keys)."""
+def _short(h: np.ndarray, n: int) -> np.ndarray:
+    """Keys of runs of n words that have to be equal."""
+    return _vec.mix(_runs(h, n) + END)
+
+
+def _items(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(item, text) to (item, m, tokens, marks, keys, offsets): keys of windows, and where in the item they begin."""
     for batch in batches:
         for lo, hi, data, offs in _vec.slices(batch.column(1)):
-            h, _, _, bounds = _vec.words(data, offs, _vec.ALNUM)
-            cols: list[list] = [[], [], [], [], []]
+            h, _, _, bounds = _vec.units(data, offs)
+            cols: list[list] = [[], [], [], [], [], []]
             for item, a, b in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), bounds[:-1], bounds[1:], strict=True):
                 m = int(b - a)
-                if item is None or m < LEAST_WORDS:
+                if item is None or m < least:
                     continue
-                tokens = h[a:b]
-                keys = cgk_keys(tokens, np.zeros(1, np.int64), np.full(1, m), size_class(m))[0]
-                for c, v in zip(cols, (item, m, tokens.tobytes(), np.concatenate(_bits(_runs(tokens, run_length(m)))).tolist(), _vec.signed(keys).tolist()), strict=True):
+                tokens, at = h[a:b], offsets(m)
+                keys = cgk_keys(tokens, at, np.full(len(at), m), window(m)) if window(m) else _short(tokens, m)[:1, None]
+                where = np.repeat(at, keys.shape[1])
+                for c, v in zip(cols, (item, m, tokens.tobytes(), _vec.signed(_runs(tokens, run_length(m))).tolist(), _vec.signed(keys.ravel()).tolist(), where.tolist()), strict=True):
                     c.append(v)
-            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["item", "m", "tokens", "marks", "keys"])
-
-
-def bitmap(rows: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of an integer column's values (under 2 ** MAP_BITS): what reaches the driver is bounded by that size."""
-    found = rows.select(F.explode(column).alias("v")).distinct().toArrow()["v"].to_numpy()
-    out = np.zeros(1 << MAP_BITS, bool)
-    out[found] = True
-    return np.packbits(out)
+            kinds = [pa.int64(), pa.int32(), pa.binary(), *[pa.list_(pa.int64())] * 3]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["item", "m", "tokens", "marks", "keys", "offsets"])
+
+
+def bitmap(hashes: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
+    """A bitmap of a one-column table of 64-bit hashes, as 64-bit words: what reaches the driver is bounded by its size."""
+    h = F.col(hashes.columns[0])
+    places = [F.shiftrightunsigned(h, 64 - k * bits).bitwiseAND((1 << bits) - 1) for k in (1, 2)]
+    rows = hashes.select(F.explode(F.array(*places)).alias("v")).selectExpr("shiftright(v, 6) AS at", "shiftleft(1L, CAST(v & 63 AS INT)) AS bit")
+    found = rows.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << bits - 6, np.uint64)
+    out[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
 
 
-def has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    first, second = _bits(h)
-    out = (bits[first >> 3] >> (7 - (first & 7)).astype(np.uint8) & 1).astype(bool)
+def has(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    bits = len(words).bit_length() + 5
+    first, second = _bits(h, bits)
+    out = (words[first >> 6] >> (first & 63).astype(np.uint64) & U(1)).astype(bool)
     at = second[out]
-    out[out] = bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
+    out[out] = words[at >> 6] >> (at & 63).astype(np.uint64) & U(1)
     return out
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least_words: int = 1) -> DataFrame:
     """(id, item, edits, item_words, first_word, last_word) of every leaked item of a document, at its best place."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     bench = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).mapInArrow(
-        _items, "item bigint, m int, tokens binary, marks array<bigint>, keys array<bigint>"
+        lambda batches: _items(batches, max(1, least_words)), "item bigint, m int, tokens binary, marks array<bigint>, keys array<bigint>, offsets array<bigint>"
     )
     bench = scratch.put(bench, "items")
-    sizes = bench.agg(F.max("m"), F.collect_set("m")).first()
+    sizes = bench.agg(F.max("m"), F.collect_set("m"), F.sum(F.size("marks")), F.sum(F.size("keys"))).first()
     out_schema = "id bigint, item bigint, edits int, item_words int, first_word bigint, last_word bigint"
     if sizes[0] is None:
         return spark.createDataFrame([], out_schema)
     reach = sizes[0] + edits(sizes[0])
     lengths = sorted({run_length(m) for m in sizes[1]})
-    classes = sorted({size_class(m) for m in sizes[1]})
-    marks = spark.sparkContext.broadcast(bitmap(bench, "marks"))
-    by_key = bench.select("item", F.explode("keys").alias("key"))
-    places = [F.shiftrightunsigned("key", 64 - k * MAP_BITS).bitwiseAND((1 << MAP_BITS) - 1) for k in (1, 2)]
-    wanted = by_key.select(F.array(*places).alias("v"))
-    keyed = spark.sparkContext.broadcast(bitmap(wanted, "v"))
+    classes, short = sorted({window(m) for m in sizes[1]} - {0}), sorted({m for m in sizes[1] if not window(m)})
+    fit = lambda n: min(MOST_BITS, max(MAP_BITS, (16 * n).bit_length()))
+    marks = spark.sparkContext.broadcast(bitmap(bench.select(F.explode("marks")), fit(sizes[2])))
+    by_key = bench.select("item", F.explode(F.arrays_zip("keys", "offsets")).alias("k")).select("item", F.col("k.keys").alias("key"), F.col("k.offsets").alias("offset"))
+    keyed = spark.sparkContext.broadcast(bitmap(by_key.select("key"), fit(sizes[3])))
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _vec.alone()
         for batch in batches:
             for lo, hi, data, offs in _vec.slices(batch.column(1)):
-                h, _, _, bounds = _vec.words(data, offs, _vec.ALNUM)
+                h, _, _, bounds = _vec.units(data, offs)
                 hits = [np.zeros(0, np.int64)]
                 for n in lengths:
                     hits.append(np.flatnonzero(has(marks.value, _runs(h, n))))
@@ -177,6 +202,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                     keys = cgk_keys(h, starts, stops, words)
                     w, r = np.nonzero(has(keyed.value, keys))
                     found.append((w, _vec.signed(keys[w, r])))
+                for words in short:
+                    keys = _short(h, words)
+                    w = np.flatnonzero(has(keyed.value, keys) & (stops[: len(keys)] - starts[: len(keys)] >= words))
+                    found.append((w, _vec.signed(keys[w])))
                 w, k = (np.concatenate(c) for c in zip(*found, strict=True))
                 own = of[w]
                 yield pa.record_batch([pa.array(np.array(ids[lo:hi])[own]), pa.array(np.array(at[lo:hi])[own]), pa.array(w - first[own]), pa.array(k)], names=["id", "at", "start", "key"])
@@ -184,7 +213,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
     held = scratch.put(rows.mapInArrow(regions, "id bigint, at bigint, tokens binary"), "regions")
     near = held.mapInArrow(windows, "id bigint, at bigint, start bigint, key bigint").join(by_key, "key")
-    near = near.groupBy("id", "at", "item").agg(F.min("start").alias("lo"), F.max("start").alias("hi"))
+    begin = F.col("start") - F.col("offset")
+    near = near.groupBy("id", "at", "item").agg(F.min(begin).alias("lo"), F.max(begin).alias("hi"))
     pairs = near.join(held.select("id", "at", F.col("tokens").alias("region")), ["id", "at"]).join(bench.select("item", "tokens"), "item")
     checked = pairs.select("id", "item", "at", "lo", "hi", "region", "tokens").mapInArrow(_verify, out_schema)
     best = F.min(F.struct("edits", "first_word", "last_word", "item_words")).alias("b")
@@ -217,7 +247,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, item, at, lo, hi, region, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             words = np.frombuffer(tokens, np.uint64).tolist()
             m = len(words)
-            a, b = max(0, lo - edits(m)), hi + m + edits(m)
+            a, b = max(0, lo - edits(m)), max(0, hi) + m + edits(m)
             text = np.frombuffer(region, np.uint64)[a:b].tolist()
             score, stop = best_place(words, text)
             if score <= edits(m):

@@ -73,21 +73,13 @@ class Nodes:
         self.name = _vec.mix(run[first + size - 1] + size.astype(np.uint64) * U(0x9E3779B97F4A7C15))
 
 
-def _unspaced(s: np.ndarray) -> np.ndarray:
-    """First bytes of characters of scripts that put no spaces between words: Han, kana, Thai, Lao, Burmese, Khmer, full-width forms, signs."""
-    at = np.flatnonzero(s[:-2] >= 0xE0) if len(s) > 2 else np.zeros(0, np.int64)
-    lead, second = s[at], s[at + 1]
-    use = (lead >= 0xE3) & (lead <= 0xE9) | (lead >= 0xEF) | (lead == 0xE0) & (second >= 0xB8) & (second <= 0xBB)
-    return at[use | (lead == 0xE1) & ((second >= 0x80) & (second <= 0x82) | (second >= 0x9E) & (second <= 0x9F))]
-
-
 def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     """Symbols of a slice, its words' hashes, starts and ends, and where each document's words begin.
 
     In scripts without spaces each character begins a word, of itself and the two after it.
     """
     s = _symbols(data)
-    at = _unspaced(s)
+    at = _vec.unspaced(s)
     if not len(at):
         return s, *_short(s, *_vec.words(s, offs, _vec.ALNUM, fold=False), offs)
     stop = at + np.where(s[at] >= 0xF0, 4, 3)
