@@ -4,10 +4,11 @@
 two pivots, so a bucket of n rows gives about n tests. A bucket's pivot is its member that meets most others over all
 buckets: in a group of copies that is the text they were made from, or one near it, so the whole group joins at once
 even where two of its copies differ too much to be links. Ids that are joined by found links form classes. Round two takes the buckets that
-still hold several classes: their members are dealt over blocks of about ``BLOCK``, and every two blocks of a bucket
-meet in one task, which tests all pairs of different classes and returns links enough to span what it joined. No
-bucket is cut, no pair is listed outside a task, and content travels once for each block it meets, not for each
-partner. Pairs within a class need no test, since components are what is asked for.
+still hold several classes: the members of its largest class, and all others, are dealt over blocks of about ``BLOCK``.
+Every two blocks meet in one task, but for two of the largest class, whose members are joined already; so a few strays in a
+large bucket cost that bucket's size, not its square. A task tests all pairs of different classes and returns links
+enough to span what it joined. No bucket is cut, no pair is listed outside a task, and content travels once for each
+block it meets, not for each partner. Pairs within a class need no test, since components are what is asked for.
 """
 
 from __future__ import annotations
@@ -49,10 +50,15 @@ def link(members: DataFrame, star: Callable[[DataFrame], DataFrame], blocks: Cal
     found = scratch.put(star(first), "found_first")
     classes = components(found, scratch, "cc_first")
     named = scratch.put(members.join(classes, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("of")), "named")
-    still = named.groupBy("key").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("n")).where("x != y")
-    dealt = named.join(still.select("key", "n"), "key").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("n")).cast("int"))
+    many = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    parts = named.groupBy("key", "of").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "of")).alias("top")).where("n > top.c")
+    small = F.col("n") <= BLOCK
+    parts = parts.select("key", F.when(~small, F.col("top.of")).alias("main"), F.when(small, 0).otherwise(many(F.col("top.c"))).alias("mains"), F.when(small, 1).otherwise(many(F.col("n") - F.col("top.c"))).alias("others"))
+    is_main = F.coalesce(F.col("of") == F.col("main"), F.lit(False))
+    dealt = named.join(parts, "key").withColumn("block", F.when(is_main, F.pmod(F.xxhash64("id", F.lit(1)), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("id", F.lit(1)), F.col("others"))).cast("int"))
     want = F.struct("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "of")
-    wants = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).groupBy("id").agg(F.collect_list(want).alias("wants"))
+    met = F.sequence(F.when(is_main, F.col("mains")).otherwise(0), F.col("mains") + F.col("others") - 1)
+    wants = dealt.withColumn("other", F.explode(met)).groupBy("id").agg(F.collect_list(want).alias("wants"))
     links = scratch.put(found.unionByName(blocks(wants)), "links")
     scratch.drop("ranked", "named", "first", "found_first")
     return components(links, scratch, "cc_all")

@@ -1,22 +1,27 @@
 """Line deduplication by a segment-partition edit join.
 
-Lines that are equal, or whose edit distance is at most ``EDITS``, directly or through other lines, form a class; the
-first occurrence (by document id, then line number) stays and every other one goes, wherever it stands. Blank
-lines always stay; lines under ``LEAST_NEAR`` code points are compared for equality only.
-
-The join: a line of length l is cut into EDITS + 1 segments of nearly equal size. Two lines within EDITS edits share a
-segment of the shorter one, at a place that the length difference and the multi-match bound confine. So a line of
-length L probes, for each length L - EDITS .. L and each segment, the few substrings that can match it; its own
+Lines that are equal, or near each other, directly or through other lines, form a class; the first occurrence (by
+document id, then line number) stays and every other one goes, wherever it stands. Two lines are near if their edit
+distance is at most ``EDITS``, and at most one for each ``PER_EDIT`` code points of the shorter one: a line of fewer than
+12 has only equals, one of fewer than 24 has neighbours at one edit. Blank lines always stay.
+
+The join: a line of length l that allows e edits is cut into e + 1 segments of nearly equal size. Two lines within e edits
+share a segment of the shorter one, at a place that the length difference and the multi-match bound confine. So a line
+of length L probes, for each length L - EDITS .. L and each segment, the few substrings that can match it; its own
 segments are among them. Keys name (segment, length, substring). Lines that share a key are tested by stars and blocks
-(``_link``) with the banded bit-parallel edit distance, on whole lines.
-
-Lines and keys go by 64-bit hashes of their code points. Only keys and hashes are shuffled; texts are fetched for lines
-that share a key. Defined cases: null texts have no lines; rows with a null id keep all lines and are no first
-occurrences; rows that repeat an id are one document; columns besides id and text stay as they are.
+(``_link``) with the banded bit-parallel edit distance, on whole lines. Keys that a sample of one row in a hundred shows
+to be frequent are known to be shared, so their lines are dealt over many tasks.
+
+Lines are equal if 128 bits of hash and their length agree; in the join, lines and keys go by 64 bits. Only keys and
+hashes are shuffled; texts are fetched for lines that share a key. Defined cases: null texts have no lines; rows with a
+null id keep all lines and are no first occurrences; rows that repeat an id are one document, of which a line number
+stays where any of the rows has a first occurrence there; very long texts and lines are ordinary; an empty table stays
+empty; columns besides id and text stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +31,12 @@ from pyspark.sql import functions as F
 
 from . import _vec
 from ._link import fetches, groups, link, spanning
-from .decontaminate import MAP_BITS, bitmap, has
+from .decontaminate import bitmap, has
 from ._store import Scratch
 
-EDITS, LEAST, LEAST_NEAR = 2, 1, 24
+EDITS, PER_EDIT = 2, 12
+#: How often a frequent key is in the sample at least, how many such keys are taken, and over how many tasks each is dealt.
+HOT_LEAST, HOT_KEYS, HOT_PARTS = 100, 10_000, 64
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -49,11 +56,11 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Lines:
-    """The lines of a slice: document, number, first and last place (code points), and a hash."""
+    """The lines of a slice: document, number, first and last place (code points), a hash, and one more of equal width (``more``)."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray):
         self.text = data.tobytes().decode("utf-8", "replace")
-        cps = np.frombuffer(self.text.encode("utf-32-le"), np.uint32)
+        self.cps = cps = np.frombuffer(self.text.encode("utf-32-le"), np.uint32)
         count = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
         offs = count[offs]
         nl = np.flatnonzero(cps == 10)
@@ -69,20 +76,36 @@ class Lines:
         self.run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_vec.mix(cps.astype(np.uint64) + U(1)) * power[: len(cps)], dtype=np.uint64)))
         ink = np.concatenate(([0], np.cumsum(cps > 32)))
         size = self.stop - self.start
-        use = np.flatnonzero((size >= LEAST) & (ink[self.stop] > ink[self.start]))
+        use = np.flatnonzero((size > 0) & (ink[self.stop] > ink[self.start]))
         self.start, self.stop, self.doc, self.number, self.size = (x[use] for x in (self.start, self.stop, self.doc, self.number, size))
         self.hash = self.part(self.start, self.stop, U(0))
 
+    @functools.cached_property
+    def more(self) -> np.ndarray:
+        """A second name of each line, from other values and places."""
+        if not len(self.size):
+            return self.hash
+        inside = np.arange(self.size.sum()) + np.repeat(self.start - (np.cumsum(self.size) - self.size), self.size)
+        place = inside - np.repeat(self.start, self.size)
+        first = np.cumsum(self.size) - self.size
+        values = (self.cps[inside].astype(np.uint64) + U(1)) * (_vec.PLACE[place & (len(_vec.PLACE) - 1)] + (place >> 14).astype(np.uint64) * U(2))
+        return _vec.mix(np.add.reduceat(values, first) + self.size.astype(np.uint64) * U(0x9E3779B97F4A7C15))
+
     def part(self, a: np.ndarray, b: np.ndarray, salt: np.ndarray | np.uint64) -> np.ndarray:
         """Hashes of the places [a, b)."""
         _, inverse = _power(len(self.run))
         return _vec.mix((self.run[b] - self.run[a]) * inverse[a] + (b - a).astype(np.uint64) * U(0xC2B2AE3D27D4EB4F) + salt * U(0xD6E8FEB86659FD93))
 
 
-def segments(l: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+def allowed(l: np.ndarray) -> np.ndarray:
+    """The edits that a line of length l allows."""
+    return np.minimum(EDITS, l // PER_EDIT)
+
+
+def segments(l: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
     """First place and size of segment i (from 0) of a line of length l: the longer segments come last."""
-    small, longer = l // (EDITS + 1), l % (EDITS + 1)
-    plain = EDITS + 1 - longer
+    small, longer = l // (edits + 1), l % (edits + 1)
+    plain = edits + 1 - longer
     return i * small + np.maximum(0, i - plain), small + (i >= plain)
 
 
@@ -91,7 +114,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offs in _vec.slices(batch.column(1)):
             x = Lines(data, offs)
-            yield pa.record_batch([batch.column(0).slice(lo, hi - lo).take(pa.array(x.doc)), pa.array(x.number.astype(np.int32)), pa.array(_vec.signed(x.hash))], names=["doc", "line", "h"])
+            yield pa.record_batch([batch.column(0).slice(lo, hi - lo).take(pa.array(x.doc)), pa.array(x.number.astype(np.int32)), pa.array(_vec.signed(x.hash)), pa.array(_vec.signed(x.more))], names=["doc", "line", "h", "g"])
 
 
 class Unseen:
@@ -115,61 +138,62 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, data, offs in _vec.slices(batch.column(1)):
             x = Lines(data, offs)
-            near = np.flatnonzero(x.size >= LEAST_NEAR)
+            near = np.flatnonzero(x.size >= PER_EDIT)
             near = near[seen.first(x.hash[near])]
             size, start, name = x.size[near], x.start[near], x.hash[near]
             keys, names = [], []
             for less in range(EDITS + 1):
                 l = size - less
-                for i in range(EDITS + 1):
-                    place, width = segments(l, i)
-                    lo = np.maximum(np.maximum(place - i, place + less - (EDITS - i)), 0)
-                    hi = np.minimum(np.minimum(place + i, place + less + (EDITS - i)), size - width)
-                    for k in range(2 * EDITS + 1):
-                        ok = lo + k <= hi
-                        if ok.any():
-                            a = (start + lo + k)[ok]
-                            keys.append(x.part(a, a + width[ok], (l[ok] * (EDITS + 1) + i + 1).astype(np.uint64)))
-                            names.append(name[ok])
+                may = allowed(l)
+                for e in range(max(less, 1), EDITS + 1):
+                    use = np.flatnonzero(may == e)
+                    if not len(use):
+                        continue
+                    long, here, at, own = size[use], l[use], start[use], name[use]
+                    for i in range(e + 1):
+                        place, width = segments(here, i, e)
+                        lo = np.maximum(np.maximum(place - i, place + less - (e - i)), 0)
+                        hi = np.minimum(np.minimum(place + i, place + less + (e - i)), long - width)
+                        for k in range(2 * e + 1):
+                            ok = lo + k <= hi
+                            if ok.any():
+                                a = (at + lo + k)[ok]
+                                keys.append(x.part(a, a + width[ok], (here[ok] * (EDITS + 1) + i + 1).astype(np.uint64)))
+                                names.append(own[ok])
             if keys:
                 yield pa.record_batch([pa.array(_vec.signed(np.concatenate(keys))), pa.array(_vec.signed(np.concatenate(names)))], names=["key", "id"])
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, id): those whose key other ids have too, each once."""
-    tail: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    taken = None
-
-    def settle(key: np.ndarray, name: np.ndarray, rest: int) -> pa.RecordBatch:
-        """Rows before ``rest`` whose neighbours are all here."""
-        nonlocal taken
-        same = (key[1:] == key[:-1]) & (name[1:] != name[:-1])
-        meets = np.append(same, False) | np.insert(same, 0, False)
-        repeat = np.insert((key[1:] == key[:-1]) & (name[1:] == name[:-1]), 0, False)
-        # Repeats stand together: a run's first row meets what is before it, its last what is after; both name the row.
-        ends = np.append(~repeat[1:], True)
-        run = np.cumsum(~repeat) - 1
-        any_ = np.zeros(run[-1] + 1, bool) if len(run) else np.zeros(0, bool)
-        np.logical_or.at(any_, run, meets)
-        keep = np.flatnonzero(any_[run] & ends & (np.arange(len(key)) < rest)) if len(run) else np.zeros(0, np.int64)
-        return pa.record_batch([pa.array(key[keep]), pa.array(name[keep])], names=["key", "id"])
+def _shared(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (key, id): those whose key other ids have too, or is in ``hot``, each once. One row is held."""
+    last: tuple[int, int, bool] | None = None  # key, id, and whether it is known to be shared
+
+    def out(key: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(key), pa.array(name)], names=["key", "id"])
 
     for batch in batches:
-        key = np.concatenate((tail[0], batch.column(0).to_numpy()))
-        name = np.concatenate((tail[1], batch.column(1).to_numpy()))
+        key, name = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(key):
             continue
-        # The last run of a key waits for the next batch.
-        rest = int(np.searchsorted(key, key[-1]))
-        if rest:
-            yield settle(key[:rest], name[:rest], rest)
-        tail = key[rest:], name[rest:]
-    if len(tail[0]):
-        yield settle(*tail, len(tail[0]))
+        if last is not None:
+            key, name = np.append(last[0], key), np.append(last[1], name)
+        new = np.append(True, (key[1:] != key[:-1]) | (name[1:] != name[:-1]))
+        key, name = key[new], name[new]
+        same = key[1:] == key[:-1]
+        meets = np.append(same, False) | np.append(False, same)
+        if len(hot):
+            meets |= hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+        if last is not None:
+            meets[0] |= last[2]
+        keep = np.flatnonzero(meets[:-1])
+        yield out(key[keep], name[keep])
+        last = int(key[-1]), int(name[-1]), bool(meets[-1])
+    if last is not None and last[2]:
+        yield out(np.array([last[0]]), np.array([last[1]]))
 
 
 def within(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Which pairs of lines are at most EDITS apart: the banded bit-parallel edit distance, for all pairs step by step."""
+    """Which pairs of lines are near each other: the banded bit-parallel edit distance, for all pairs step by step."""
     out = np.zeros(len(left), bool)
     if not len(left):
         return out
@@ -177,7 +201,8 @@ def within(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     one = [b if s else a for a, b, s in zip(left, right, swap, strict=True)]
     two = [a if s else b for a, b, s in zip(left, right, swap, strict=True)]
     n1, n2 = np.array([len(x) for x in one]), np.array([len(x) for x in two])
-    able = np.flatnonzero(n1 - n2 <= EDITS)
+    most = allowed(n2)
+    able = np.flatnonzero(n1 - n2 <= most)
     able = able[np.argsort(n1[able], kind="stable")]
     lo = 0
     while lo < len(able):
@@ -185,13 +210,13 @@ def within(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
         while hi < len(able) and (hi - lo + 1) * int(n1[able[hi]] + 2 * EDITS + 1) <= 2_000_000:
             hi += 1
         part = able[lo:hi]
-        out[part] = _banded([one[k] for k in part], [two[k] for k in part])
+        out[part] = _banded([one[k] for k in part], [two[k] for k in part]) <= most[part]
         lo = hi
     return out
 
 
 def _banded(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
-    """``one`` holds the longer line of each pair. The band's 2 * EDITS + 1 diagonals are the top bits of a word."""
+    """Distances, exact up to EDITS. ``one`` holds the longer line of each pair. The band's 2 * EDITS + 1 diagonals are the top bits of a word."""
     n1, n2 = np.array([len(x) for x in one]), np.array([len(x) for x in two])
     wide = int(n1.max()) + 2 * EDITS + 1
     a, b = np.full((len(one), wide + EDITS), 0xFFFFFFFF, np.uint32), np.full((len(one), wide), 0xFFFFFFFE, np.uint32)
@@ -219,7 +244,7 @@ def _banded(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
         vp, vn = np.where(live, hn | ~((d0 >> U(1)) | hp), vp), np.where(live, (d0 >> U(1)) & hp, vn)
         if i % 16 == 15 and (dist > dead).all():
             break
-    return dist <= EDITS
+    return dist
 
 
 def _codes(text: str) -> np.ndarray:
@@ -302,19 +327,21 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
-    placed = scratch.put(rows.mapInArrow(_occurrences, "doc bigint, line int, h bigint"), "placed")
-    keyed = rows.mapInArrow(_keys, "key bigint, id bigint").repartition("key").sortWithinPartitions("key", "id")
-    members = scratch.put(keyed.mapInArrow(_shared, "key bigint, id bigint"), "members")
+    placed = scratch.put(rows.mapInArrow(_occurrences, "doc bigint, line int, h bigint, g bigint"), "placed")
+    hot = _hot(rows)
+    salt = F.when(F.col("key").isin(hot.tolist()), F.pmod(F.xxhash64("id"), F.lit(HOT_PARTS))).otherwise(0) if len(hot) else F.lit(0)
+    keyed = rows.mapInArrow(_keys, "key bigint, id bigint").repartition("key", *([salt] if len(hot) else [])).sortWithinPartitions("key", "id")
+    members = keyed.mapInArrow(lambda batches: _shared(batches, hot), "key bigint, id bigint")
+    members = scratch.put(members.distinct() if len(hot) else members, "members")
     wanted = members.select("id").distinct()
-    places = [F.shiftrightunsigned("id", 64 - k * MAP_BITS).bitwiseAND((1 << MAP_BITS) - 1) for k in (1, 2)]
-    bits = spark.sparkContext.broadcast(bitmap(wanted.select(F.array(*places).alias("v")), "v"))
+    bits = spark.sparkContext.broadcast(bitmap(wanted))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Unseen()
         for batch in batches:
             for _, _, data, offs in _vec.slices(batch.column(1)):
                 x = Lines(data, offs)
-                at = np.flatnonzero((x.size >= LEAST_NEAR) & has(bits.value, x.hash))
+                at = np.flatnonzero((x.size >= PER_EDIT) & has(bits.value, x.hash))
                 at = at[seen.first(x.hash[at])]
                 yield pa.record_batch([pa.array(_vec.signed(x.hash[at])), pa.array([x.text[x.start[k] : x.stop[k]] for k in at], pa.string())], names=["id", "text"])
 
@@ -331,13 +358,24 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     classes = link(members, star, blocks, scratch)
     scratch.drop("members", "links", "texts")
-    named = placed.join(classes, F.col("h") == F.col("node"), "left").select("doc", "line", F.coalesce("component", "h").alias("of"))
-    named = scratch.put(named, "classed")
-    firsts = named.groupBy("of").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = named.join(firsts, "of").where(F.struct("doc", "line") != F.col("first"))
+    # First occurrences: of equal lines, then of classes. What isn't one goes; places are compared, of which none is frequent.
+    at = F.struct("doc", "line")
+    classes = classes.unionByName(classes.select(F.col("component").alias("node"), "component").distinct())
+    each = placed.groupBy("h", "g").agg(F.min(at).alias("first")).join(classes, F.col("h") == F.col("node"), "left")
+    each = scratch.put(each.select("component", "first"), "each")
+    firsts = each.where("component is null").select("first.*").unionByName(each.where("component is not null").groupBy("component").agg(F.min("first").alias("first")).select("first.*"))
+    gone = placed.select("doc", "line").join(firsts, ["doc", "line"], "left_anti")
     return gone.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
 
 
+def _hot(rows: DataFrame) -> np.ndarray:
+    """Keys that are frequent in a sample of the rows and have several lines there, sorted: at most ``HOT_KEYS``, the most frequent."""
+    keys = rows.sample(0.01, 7).mapInArrow(_keys, "key bigint, id bigint")
+    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("x"), F.max("id").alias("y"))
+    found = counts.where((F.col("n") >= HOT_LEAST) & (F.col("x") != F.col("y"))).orderBy(F.col("n").desc(), "key").limit(HOT_KEYS)
+    return np.sort(found.select("key").toArrow()["key"].to_numpy())
+
+
 def cut(text: str | None, gone: list[int] | None) -> str | None:
     if text is None or gone is None:
         return text

@@ -186,7 +186,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = link(members, star, blocks, scratch)
     scratch.drop("members", "links", "wanted", "body")
     of = sets.join(classes, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("low"))
-    out = sig.join(of, ["d1", "d2", "n"], "left")
+    out = sig.where("n > 0").join(of, ["d1", "d2", "n"], "left").select("id", "n", "low")
+    out = out.unionByName(sig.where("n = 0").select("id", "n", F.lit(None).cast("bigint").alias("low")))
     own = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("low", "id"))
     return out.select("id", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 
