@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .decontaminate import op5_decontaminate
 from .langid import op3_langid
 from .lines import op8_line_dedup
@@ -25,4 +26,4 @@ QUERIES = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_token_store": op10_token_store,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op1_minhash": oracles.MINHASH, "op7_secret_scan": oracles.SECRETS, "op9_embedding_dedup": oracles.VECTORS}

@@ -114,21 +114,21 @@ def test_banded_distance():
     r = random.Random(3)
     pairs = [(a := "".join(r.choice("abcé ") for _ in range(r.randint(5, 70))), edited(r, a, r.randint(0, 4))) for _ in range(800)]
     got = lines.within([lines._codes(a) for a, _ in pairs], [lines._codes(b) for _, b in pairs])
-    assert got.tolist() == [distance(a, b) <= 2 for a, b in pairs]
+    assert got.tolist() == [distance(a, b) <= min(2, min(len(a), len(b)) // 12) for a, b in pairs]
 
 
 def brute_lines(rows):
     places = collections.defaultdict(list)
     for d, t in rows:
         for k, line in enumerate((t or "").split("\n") if t is not None else []):
-            if len(line) >= lines.LEAST and line.strip():
+            if line.strip():
                 places[line].append((d, k))
     names = sorted(places)
     c = Classes(names)
-    near = [x for x in names if len(x) >= lines.LEAST_NEAR]
-    for k, a in enumerate(near):
-        for b in near[:k]:
-            if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2:
+    for k, a in enumerate(names):
+        for b in names[:k]:
+            most = min(2, min(len(a), len(b)) // 12)
+            if most and abs(len(a) - len(b)) <= most and distance(a, b) <= most:
                 c.join(a, b)
     first = {}
     for x in names:
@@ -156,6 +156,44 @@ def test_lines_equal_brute_force(spark, monkeypatch, block):
     assert got == brute_lines(rows)
 
 
+def test_edit_bounds_follow_the_length(spark):
+    r = random.Random(6)
+    rows = []
+    for n in (1, 2, 3, 11, 12, 13, 14, 23, 24, 25, 26, 60):
+        for _ in range(6):
+            x = "".join(r.choice("abcdefghijkl") for _ in range(n))
+            rows += [x, *(edited(r, x, k) for k in (1, 2, 3) if n > 3)]
+    rows = [(d, x) for d, x in enumerate(rows)]
+    got = {x.doc: list(x.dropped) for x in lines.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_lines(rows) and len(got) > 60
+
+
+def test_frequent_keys_are_dealt_over_tasks(spark, monkeypatch):
+    r = random.Random(7)
+    rows = [(d, "2026-11-26 a log line begins alike, always " + "".join(r.choice("abcdefgh") for _ in range(21))) for d in range(3000)]
+    rows += [(3000 + d, edited(r, rows[d][1], 1)) for d in range(0, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    real = lines._hot
+    monkeypatch.setattr(lines, "HOT_LEAST", 3)
+    monkeypatch.setattr(lines, "_hot", lambda rows: seen.append(real(rows)) or seen[-1])
+    with_hot = {x.doc: list(x.dropped) for x in lines.duplicate_lines(df).collect()}
+    assert len(seen[0])
+    monkeypatch.setattr(lines, "_hot", lambda rows: np.zeros(0, np.int64))
+    without = {x.doc: list(x.dropped) for x in lines.duplicate_lines(df).collect()}
+    assert with_hot == without and len(without) >= 60
+
+
+def test_a_second_name_tells_lines_apart():
+    def names(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return lines.Lines(data, np.array([0, len(data)])).more.tolist()
+
+    long = "x" * 40_000
+    a = names(f"{long}a\n{long}b\nab\nba\nab\n{long}a")
+    assert len(set(a)) == 4 and a[0] == a[5] and a[2] == a[4]
+
+
 def test_cut_lines_keep_columns(spark):
     long = "a line that is long enough to count"
     df = spark.createDataFrame([(1, f"{long}\nown line of one\n\nshort", "en"), (2, f"{long}x\nown line of two", "de"), (3, long, None), (4, None, "fr"), (None, long, "es")], "doc_id long, text string, dropped string")
@@ -172,7 +210,7 @@ def test_query_op8(spark):
     seen = set()
     for d, t in sorted(rows):
         for k, line in enumerate(t.split("\n")):
-            if len(line) >= lines.LEAST and line.strip():
+            if line.strip():
                 if line in seen:
                     exact[d].append(k)
                 seen.add(line)
@@ -219,6 +257,33 @@ def test_leaks_equal_brute_force(spark):
     assert x.last_word - x.first_word <= x.item_words + x.edits
 
 
+def test_items_of_every_length_are_found_at_the_largest_number_of_edits(spark):
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6))) for _ in range(3000)]
+    items, docs = [], []
+    for m in (5, 7, 10, 16, 31, 64, 127, 128, 200, 300, 500, 1000):
+        for _ in range(40):
+            words = [r.choice(vocabulary) for _ in range(m)]
+            items.append((len(items), " ".join(words)))
+            for _ in range(decontaminate.edits(m)):
+                p, kind = r.randrange(len(words)), r.randrange(3)
+                words[p : p + (kind != 2)] = [r.choice(vocabulary)] if kind != 1 else []
+            docs.append((len(docs), " ".join([*(r.choice(vocabulary) for _ in range(20)), *words, *(r.choice(vocabulary) for _ in range(20))])))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {x.id for x in decontaminate.leaks(*frames).collect() if x.id == x.item}
+    found = [sum(k in got for k in range(lo, lo + 40)) for lo in range(0, len(items), 40)]
+    assert min(found) >= 38 and sum(found) >= 0.985 * len(items)
+
+
+def test_short_items_and_unspaced_scripts(spark):
+    items = [(1, "Yes"), (2, "two words"), (3, "今天天气很好我们去公园"), (4, "天"), (5, "one two three four")]
+    docs = [(1, "oh yes!"), (2, "two other words"), (3, "听说今天天气很好我们去学校了"), (4, "X two words, 日本"), (5, "one two three, and four"), (6, "ONE, two three-four")]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    pairs = lambda **k: {(x.id, x.item, x.edits) for x in decontaminate.leaks(*frames, **k).collect()}
+    assert pairs() == {(1, 1, 0), (3, 3, 2), (3, 4, 0), (4, 2, 0), (6, 5, 0)}
+    assert pairs(least_words=5) == {(3, 3, 2)}
+
+
 def test_query_op5(spark):
     docs, items = (duckdb.sql(f"select * from '{SF}/{t}.parquet'").fetchall() for t in ("documents", "benchmark"))
     got = {(r.doc_id, r.item_id) for r in decontaminate.op5_decontaminate(spark, SF).collect()}
