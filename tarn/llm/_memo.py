@@ -1,31 +1,58 @@
-"""A bounded memo of two generations: what is asked for moves to the young one, the old one goes when that is full."""
+"""A bounded memo of id sequences by 64-bit names: one dictionary of numbers and one growing array, no object a sequence."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import repeat
 
+import numpy as np
 
-class Memo:
-    def __init__(self, most: int):
-        self.most, self.young, self.old = most // 2, {}, {}
-
-    def table(self, wanted: set[str], make: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
-        """Values of all that is wanted, made where they aren't known. The table is as small as the set, so it stays in cache."""
-        out, missing = {}, []
-        young, old = self.young, self.old
-        for x in wanted:
-            y = young.get(x)
-            if y is None:
-                y = old.get(x)
-                if y is None:
-                    missing.append(x)
-                    continue
-                young[x] = y
-            out[x] = y
-        if missing:
-            made = dict(zip(missing, make(missing), strict=True))
-            out.update(made)
-            young.update(made)
-        if len(young) > self.most:
-            self.old, self.young = young, {}
+from . import _vec
+
+U = np.uint64
+#: The low bits of a place tell the length.
+SIZE = 20
+
+
+class Pool:
+    """When it holds more than ``most`` sequences it forgets all and begins anew."""
+
+    def __init__(self, most: int, kind: type):
+        self.most, self.kind = most, kind
+        self.forget()
+
+    def forget(self) -> None:
+        self.at: dict[int, int] = {}
+        self.held, self.used = np.zeros(1 << 16, self.kind), 0
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def places(self, names: np.ndarray, make: Callable[[list[int]], list]) -> np.ndarray:
+        """Where the sequences of distinct names are. make: takes places in ``names`` that are new, returns their sequences."""
+        if len(self.at) > self.most:
+            self.forget()
+        keys = names.tolist()
+        out = np.fromiter(map(self.at.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(out < 0).tolist()
+        for k, ids in zip(new, make(new) if new else (), strict=True):
+            while self.used + len(ids) > len(self.held):
+                self.held = np.concatenate((self.held, np.zeros_like(self.held)))
+            self.held[self.used : self.used + len(ids)] = ids
+            out[k] = self.at[keys[k]] = self.used << SIZE | len(ids)
+            self.used += len(ids)
         return out
+
+    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sequences at ``places`` one after another, and where each ends."""
+        n = places & ((1 << SIZE) - 1)
+        stop = np.cumsum(n)
+        return self.held[np.repeat((places >> SIZE) - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)], stop
+
+
+def names_of(cps: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit name of each run of characters that begins at ``start``, and its length."""
+    size = np.diff(np.append(start, len(cps)))
+    place = np.arange(len(cps)) - np.repeat(start, size)
+    values = (cps.astype(np.uint64) + U(1)) * (_vec.PLACE[place & (len(_vec.PLACE) - 1)] + (place >> 14).astype(np.uint64) * U(2))
+    return _vec.mix(np.add.reduceat(values, start) + size.astype(np.uint64) * U(0x9E3779B97F4A7C15)), size

@@ -11,7 +11,8 @@ A model file is compiled into three machines:
 Encoding composes the input with N, L and M and takes the path of least weight in the tropical semiring (sum along a
 path, minimum over paths). The composition's states are (place, last piece); under M every place has one finite state,
 which the recursion finds from the left. No piece holds a space mark after another symbol, so composition falls apart at
-those places: chunks are solved together, many at a time, as arrays, and each worker remembers a bounded number of them.
+those places: chunks are solved together, many at a time, as arrays, and each worker remembers a bounded number of
+them, by 64-bit hashes of their characters.
 Chunks of more than ``LONG`` symbols (text without spaces) are solved one by one, in memory linear in their length.
 
 Decoding is the inverse: ids to their bytes, space marks to spaces, without the space put before the text.
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import array
 import functools
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -35,13 +37,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _vec
-from ._memo import Memo
+from ._memo import Pool, names_of
 from ._store import bound_batches
 
 MARK = "▁"
 #: Chunks that a worker remembers, and the symbols up to which chunks are solved together and remembered.
-MEMO, LONG, PART = 800_000, 64, 1 << 16
+MEMO, LONG, PART = 600_000, 64, 1 << 16
 U = np.uint64
+PREFIX = 1 << 30
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 
 
@@ -49,7 +52,7 @@ class Slots:
     """uint64 keys to int64 values, open addressing, all keys placed."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(len(keys)).bit_length() + 3)
+        self.bits = max(4, int(len(keys)).bit_length() + 2)
         self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int64)
         rest, probe = np.arange(len(keys)), 0
         while len(rest):
@@ -116,11 +119,16 @@ class Transducer:
                 if p.type == UNKNOWN:
                     self.unknown, self.bytes_of[k] = k, b" \xe2\x81\x87 "
         self.longest = max(map(len, self.id_of))
+        self.score_of = {p: self.score[k] for p, k in self.id_of.items()}
         self.apart = not any(MARK in p.lstrip(MARK) for p in self.id_of)
-        names = sorted(self.id_of)
-        self.lexicon = Slots(np.array([self._name(np.array([ord(c) for c in p], np.uint64)) for p in names], np.uint64), np.array([self.id_of[p] for p in names]))
+        # L as a table of all beginnings of pieces; what is a beginning only goes to PREFIX.
+        names = sorted({p[:k] for p in self.id_of for k in range(1, len(p) + 1)})
+        self.lexicon = Slots(np.array([self._name(np.array([ord(c) for c in p], np.uint64)) for p in names], np.uint64), np.array([self.id_of.get(p, PREFIX) for p in names]))
         self.pair_keys, self.pair_ok = np.zeros(1 << 20, np.uint64), np.zeros(1 << 20, bool)
-        self.memo = Memo(MEMO)
+        self.memo = Pool(MEMO, np.int32)
+        #: The bytes of all pieces one after another, and where each begins (one more at the end).
+        self.body = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.begins = np.concatenate(([0], np.cumsum([len(x) for x in self.bytes_of])))
 
     @staticmethod
     def _name(symbols: np.ndarray) -> int:
@@ -137,20 +145,6 @@ class Transducer:
         return ((" " if self.prefix else "") + text).replace(" ", MARK)
 
     # The acceptor M.
-    def merged(self, symbols: list[str]) -> list[str]:
-        """What merging makes of symbols: the neighbours that form the best piece first, the leftmost of equals."""
-        symbols = list(symbols)
-        while len(symbols) > 1:
-            best, at = None, -1
-            for k in range(len(symbols) - 1):
-                piece = self.id_of.get(symbols[k] + symbols[k + 1])
-                if piece is not None and (best is None or self.score[piece] > best):
-                    best, at = self.score[piece], k
-            if at < 0:
-                break
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-        return symbols
-
     def passes(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """M for arrays of pairs; -1 on either side is the start or a fallback symbol, which nothing merges with."""
         out = (left < 0) | (right < 0)
@@ -176,55 +170,82 @@ class Transducer:
         return out
 
     def _pair(self, left: int, right: int) -> bool:
+        """Whether merging the symbols of two pieces ends with just these two.
+
+        Merging joins the neighbours that form the best piece first, the leftmost of equals; a step over the border
+        between the two settles it.
+        """
         a, b = self.pieces[left], self.pieces[right]
-        return self.merged([*a, *b]) == [a, b]
+        symbols, border, get, none = [*a, *b], len(a), self.score_of.get, -np.inf
+        scores = [get(x + y, none) for x, y in itertools.pairwise(symbols)]
+        while scores and (best := max(scores)) > none:
+            k = scores.index(best)
+            if k == border - 1:
+                return False
+            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+            del scores[k]
+            border -= k < border
+            if k:
+                scores[k - 1] = get(symbols[k - 1] + symbols[k], none)
+            if k < len(scores):
+                scores[k] = get(symbols[k] + symbols[k + 1], none)
+        return symbols == [a, b]
 
     # Composition and the shortest path.
-    def solve(self, chunks: list[str]) -> list[bytes]:
-        """Ids (little-endian 32-bit) of normalised chunks; shorter ones are padded, since a path's start knows nothing of its end."""
+    def solve(self, chunks: list[str]) -> list[np.ndarray]:
+        """Ids of normalised chunks; shorter ones are padded, since a path's start knows nothing of its end."""
         sizes = np.array([len(c) for c in chunks])
         n, many = int(sizes.max()), len(chunks)
         cps = np.frombuffer("".join(c.ljust(n, "\0") for c in chunks).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(many, n).astype(np.uint64)
         marks = _vec.mix(cps + U(1))
-        piece = np.full((n, n + 1), None, object)  # piece[i][j]: id of symbols i..j of every chunk, or None if no chunk has one
+        marks = np.ascontiguousarray(marks.T)
+        arcs: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(n + 1)]  # by end: start, chunks, ids (-1: fallback)
         for i in range(n):
-            name = np.zeros(many, np.uint64)
+            at = np.flatnonzero(sizes > i)
+            name = np.zeros(len(at), np.uint64)
             for j in range(i + 1, min(n, i + self.longest) + 1):
-                name = name + marks[:, j - 1] * _vec.PLACE[j - 1 - i]
+                name = name + marks[j - 1][at] * _vec.PLACE[j - 1 - i]
                 got = self.lexicon.find(name + U(j - i))
-                if j == i + 1 or (got >= 0).any():
-                    piece[i][j] = got
+                known = (got >= 0) & (got < PREFIX)
+                if j == i + 1:
+                    arcs[j].append((i, at, np.where(known, got, -1)))
+                elif known.any():
+                    arcs[j].append((i, at[known], got[known]))
+                on = got >= 0
+                if not on.any():
+                    break
+                at, name = at[on], name[on]
         weight = np.full((n + 1, many), np.inf)
         weight[0] = 0
-        last = np.full((n + 1, many), -1, np.int64)
-        back = np.zeros((n + 1, many), np.int64)
+        last = np.full((n + 1, many), -1, np.int32)
+        back = np.zeros((n + 1, many), np.int32)
         for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
-                got = piece[i][j]
-                if got is None:
-                    continue
-                known = got >= 0
-                can = (known | (i == j - 1)) & np.isfinite(weight[i])
+            for i, at, got in arcs[j]:
+                can = np.isfinite(weight[i][at])
                 if self.merges:
-                    at = np.flatnonzero(can & ~np.isfinite(weight[j]))
-                    at = at[self.passes(last[i][at], got[at])]
-                    cost = np.zeros(len(at))
+                    can &= ~np.isfinite(weight[j][at])
+                    at, got = at[can], got[can]
+                    use = self.passes(last[i][at], got)
+                    cost = 0.0
                 else:
-                    at = np.flatnonzero(can)
-                    cost = np.where(known[at], -self.weights[np.maximum(got[at], 0)], self.penalty) + weight[i][at]
-                    better = cost < weight[j][at]
-                    at, cost = at[better], cost[better]
-                weight[j][at], last[j][at], back[j][at] = cost, got[at], i
-        out = []
-        ends = sizes.copy()
-        path: list[list[int]] = [[] for _ in range(many)]
+                    at, got = at[can], got[can]
+                    cost = np.where(got >= 0, -self.weights[np.maximum(got, 0)], self.penalty) + weight[i][at]
+                    use = cost < weight[j][at]
+                    cost = cost[use]
+                at = at[use]
+                weight[j][at], last[j][at], back[j][at] = cost, got[use], i
+        # Back from the end of each chunk, all chunks at once: a row of ``path`` has the id that ends at that place, or none.
+        path, ends = np.full((n + 1, many), -2, np.int32), sizes.copy()
         for j in range(n, 0, -1):
-            for c in np.flatnonzero(ends == j):
-                one = int(last[j][c])
-                path[c].extend((one,) if one >= 0 else self.fallback(chunks[c][j - 1])[::-1])
-                ends[c] = back[j][c]
-        for ids in path:
-            out.append(np.array(ids[::-1], np.int32).tobytes())
+            at = np.flatnonzero(ends == j)
+            path[j, at] = last[j, at]
+            ends[at] = back[j, at]
+        flat = path.T[path.T != -2]
+        stop = np.cumsum((path != -2).sum(0))
+        out = [flat[a:b] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
+        for c in np.flatnonzero((path == -1).any(0)).tolist():
+            places = np.flatnonzero(path[:, c] != -2).tolist()
+            out[c] = np.array([x for j in places for x in ((path[j, c],) if path[j, c] >= 0 else self.fallback(chunks[c][j - 1]))], np.int32)
         return out
 
     def solve_long(self, chunk: str) -> bytes:
@@ -239,6 +260,7 @@ class Transducer:
             for w in range(1, min(self.longest, len(marks)) + 1):
                 name = name[: len(marks) - w + 1] + marks[w - 1 :] * _vec.PLACE[w - 1]
                 got = self.lexicon.find(name + U(w))
+                got[got >= PREFIX] = -1
                 at = np.flatnonzero((got >= 0) | (w == 1))
                 at = at[at + begin + w > lo]
                 ends.append(at + begin + w)
@@ -286,11 +308,11 @@ class Transducer:
         ids = [self.byte_ids[b] for b in symbol.encode("utf-8", "replace")]
         return ids if min(ids) >= 0 else [self.unknown]
 
-    def make(self, chunks: list[str]) -> list[bytes]:
+    def make(self, chunks: list[str]) -> list[np.ndarray]:
         """Ids of normalised chunks, those of like length together."""
         order = sorted(range(len(chunks)), key=lambda k: len(chunks[k]))
         new = [chunks[k] for k in order]
-        out: list[bytes] = []
+        out: list[np.ndarray] = []
         lo = 0
         while lo < len(new):
             n = len(new[lo])
@@ -300,19 +322,57 @@ class Transducer:
                 hi += 1
             out += self.solve(new[lo:hi])
             lo = hi
-        back = [b""] * len(chunks)
+        back = [out[0]] * len(chunks)
         for k, ids in zip(order, out, strict=True):
             back[k] = ids
         return back
 
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after another, and where each text's begin (one more at the end)."""
+        normal = [self.normalise(t) for t in texts]
+        text, offs = "".join(normal), np.concatenate(([0], np.cumsum([len(t) for t in normal]))).astype(np.int64)
+        if not text:
+            return np.zeros(0, np.int32), offs
+        cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        begin = np.zeros(len(cps), bool)
+        if self.apart:
+            mark = cps == ord(MARK)
+            begin[1:] = mark[1:] & ~mark[:-1]
+        begin[offs[:-1][offs[:-1] < offs[1:]]] = True
+        start = np.flatnonzero(begin)
+        name, size = names_of(cps, start)
+        names, first, inv = np.unique(name, return_index=True, return_inverse=True)
+        first, far = start[first], size[first]
+        known = far <= LONG
+        chunk = lambda k: text[first[k] : first[k] + far[k]]
+        short = np.flatnonzero(known)
+        places = np.full(len(names), -1)
+        places[short] = self.memo.places(names[short], lambda new: self.make([chunk(short[k]) for k in new]))
+        got, stop = self.memo.gather(np.maximum(places[inv], 0) * known[inv])
+        if not known.all():
+            # Long chunks are put between the others, without being remembered.
+            long = {k: np.frombuffer(self.solve_long(chunk(k)), np.int32) for k in np.flatnonzero(~known).tolist()}
+            lo = np.concatenate(([0], stop))
+            parts = [long[k] if k in long else got[a:b] for k, a, b in zip(inv.tolist(), lo[:-1].tolist(), lo[1:].tolist(), strict=True)]
+            got, stop = np.concatenate(parts), np.cumsum([len(x) for x in parts])
+        return got, np.concatenate(([0], stop))[np.searchsorted(start, offs)]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+") if self.apart else re.compile("(?s).+")
-        chunks = [split.findall(self.normalise(t)) for t in texts]
-        wanted = set().union(*chunks)
-        long = {c for c in wanted if len(c) > LONG}
-        table = self.memo.table(wanted - long, self.make)
-        table.update((c, self.solve_long(c)) for c in long)
-        return [np.frombuffer(b"".join(map(table.__getitem__, c)), np.int32) for c in chunks]
+        ids, bounds = self.encode_all(texts)
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def same(self, ids: np.ndarray, bounds: np.ndarray, texts: list[str]) -> list[bool]:
+        """Whether decoding the ids gives the texts again."""
+        n = np.diff(self.begins)[ids]
+        stop = np.cumsum(n)
+        body = self.body[np.repeat(self.begins[ids] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)].tobytes()
+        at = np.concatenate(([0], stop))[bounds].tolist()
+        out = []
+        for k, (t, a, b) in enumerate(zip(texts, at[:-1], at[1:], strict=True)):
+            lead = self.prefix and body[a : a + 1] == b" " and b > a
+            # What isn't equal as bytes is decoded as text, with a sign in place of what is no character.
+            out.append(body[a + lead : b] == t.encode("utf-8", "surrogatepass") or self.decode(ids[bounds[k] : bounds[k + 1]]) == t)
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -338,12 +398,12 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for lo, hi, _, _ in _vec.slices(batch.column(1), 1 << 20):
                 texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
-                ids = machine.encode(texts)
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-                crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
-                same = [machine.decode(x) == t for x, t in zip(ids, texts, strict=True)]
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(same), lists], names=["id", "n_tokens", "ids_crc32", "round_trip", "ids"])
+                ids, ends = machine.encode_all(texts)
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+                body = memoryview(ids.astype("<u4")).cast("B")
+                crc = [zlib.crc32(body[4 * a : 4 * b]) for a, b in itertools.pairwise(ends.tolist())]
+                same = machine.same(ids, ends, texts)
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), lists], names=["id", "n_tokens", "ids_crc32", "round_trip", "ids"])
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, n_tokens bigint, ids_crc32 bigint, round_trip boolean, ids array<int>")

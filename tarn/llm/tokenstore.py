@@ -31,7 +31,6 @@ import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _vec
+from ._memo import Pool, names_of
 from ._store import Scratch
 
 MEAN_BITS, LEAST, MOST, SPAN = 10, 128, 8192, 8
@@ -106,11 +106,7 @@ class Encoder:
         #: Whether texts may be cut into pieces, and the model sees just the bytes of a word.
         self.plain = parts.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and getattr(pre, "use_regex", True) and type(parts.model).__name__ == "BPE"
         self.model = parts.model
-        self.forget()
-
-    def forget(self) -> None:
-        self.at: dict[int, int] = {}  # name of a piece: place of its ids in the pool, and their number in the low 20 bits
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.memo = Pool(MEMO, np.uint32)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, self.end], np.uint32)
@@ -122,20 +118,6 @@ class Encoder:
             return [t.id for t in self.model.tokenize(shown)]
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
-    def _places(self, names: np.ndarray, pieces: Callable[[int], str]) -> np.ndarray:
-        if len(self.at) > MEMO:
-            self.forget()
-        keys = names.tolist()
-        out = np.fromiter(map(self.at.get, keys, repeat(-1)), np.int64, len(keys))
-        for k in np.flatnonzero(out < 0).tolist():
-            ids = self.make(pieces(k))
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate((self.pool, self.pool * 0))
-            self.pool[self.used : self.used + len(ids)] = ids
-            out[k] = self.at[keys[k]] = self.used << 20 | len(ids)
-            self.used += len(ids)
-        return out
-
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after another, each with the end id, and where each text's begin (one more at the end)."""
         special = [not self.plain or len(t) >= 1 << 20 or any(map(t.__contains__, self.added)) for t in texts]
@@ -146,15 +128,10 @@ class Encoder:
         else:
             cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
             start = piece_starts(cps, offs)
-            size = np.diff(np.append(start, len(cps)))
-            place = np.arange(len(cps)) - np.repeat(start, size)
-            name = np.add.reduceat((cps.astype(np.uint64) + U(1)) * _vec.PLACE[place & (len(_vec.PLACE) - 1)], start)
-            name = _vec.mix(name + size.astype(np.uint64) * U(0x9E3779B97F4A7C15))
+            name, size = names_of(cps, start)
             names, first, inv = np.unique(name, return_index=True, return_inverse=True)
-            got = self._places(names, lambda k: text[start[first[k]] : start[first[k]] + size[first[k]]])[inv]
-            n = got & 0xFFFFF
-            stop = np.cumsum(n)
-            flat = self.pool[np.repeat((got >> 20) - (stop - n), n) + np.arange(stop[-1])]
+            piece = lambda k: text[start[first[k]] : start[first[k]] + size[first[k]]]
+            flat, stop = self.memo.gather(self.memo.places(names, lambda new: [self.make(piece(k)) for k in new])[inv])
             counts = np.diff(np.concatenate(([0], stop))[np.searchsorted(start, offs)])
         parts, at = [], 0
         if any(special):
