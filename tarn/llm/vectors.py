@@ -2,7 +2,9 @@
 
 Each of ``TREES`` trees splits the unit vectors by random directions at the median of a bounded sample (at most
 ``SAMPLE`` rows, chosen by a hash), down to about ``LEAF`` sample rows' worth of data; a split sends what lies within
-``SPILL`` of it to both sides. Every row is then led through every tree. Rows of a leaf are compared with each other by
+``SPILL`` of it to both sides. Every row is then led through every tree. Leaves that still hold more than ``LARGE`` rows
+are split again, each by a sample of its own rows (about ``OWN``), and so on while that parts them: so leaves don't grow
+with the table, but where rows are so alike that no plane parts them. Rows of a leaf are compared with each other by
 exact cosines in double precision; leaves of more than ``BLOCK`` rows are dealt over blocks, and every two blocks meet in
 one task, so no leaf is cut and no task holds an unbounded one. A pair that meets in several leaves counts in the first
 only: a row carries the leaves it lies in, and a link counts where no earlier leaf is shared. Links become counts and
@@ -29,6 +31,8 @@ from ._link import groups, spanning
 from ._store import Scratch
 
 COSINE, TREES, SPILL, SAMPLE, LEAF, BLOCK = 0.95, 8, 0.015, 20_000, 400, 2048
+#: Rows of a leaf that is split again, rows of its sample, levels of such a split, and the share of a node's rows that a side may keep.
+LARGE, OWN, LEVELS, SHARE = 8 * LEAF, 512, 4, 0.75
 
 
 class Tree:
@@ -68,6 +72,42 @@ class Tree:
         return np.concatenate(rows), np.repeat(np.array(list(held), np.int64), [len(r) for r in rows])
 
 
+def direction(seed: int, dims: int) -> np.ndarray:
+    d = np.random.Generator(np.random.PCG64([977, seed])).standard_normal(dims)
+    return d / np.linalg.norm(d)
+
+
+def own_cuts(x: np.ndarray, n: int, directions: np.ndarray) -> np.ndarray:
+    """Where each node of a small tree splits a leaf of n rows, from its sample x; nan where it doesn't part them."""
+    cuts = np.full(2**LEVELS - 1, np.nan)
+    held = {0: np.arange(len(x))}
+    for node in range(len(cuts)):
+        at = held.get(node)
+        if at is None or n * len(at) / len(x) <= 2 * LEAF or len(at) < 32:
+            continue
+        p = x[at] @ directions[node]
+        cut = np.median(p)
+        left, right = at[p <= cut + SPILL], at[p > cut - SPILL]
+        if max(len(left), len(right)) <= SHARE * len(at):
+            cuts[node], held[2 * node + 1], held[2 * node + 2] = cut, left, right
+    return cuts
+
+
+def own_leaves(x: np.ndarray, cuts: np.ndarray, directions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, node) of every place that rows fall into; a row has the cuts of its own leaf."""
+    p = x @ directions.T - cuts
+    row, node, out = np.arange(len(x)), np.zeros(len(x), np.int64), []
+    for _ in range(LEVELS + 1):
+        inner = node < cuts.shape[1]
+        side = np.full(len(row), np.nan)
+        side[inner] = p[row[inner], node[inner]]
+        end = np.isnan(side)
+        out.append((row[end], node[end]))
+        left, right = side <= SPILL, side > -SPILL  # false for nan
+        row, node = np.concatenate((row[left], row[right])), np.concatenate((2 * node[left] + 1, 2 * node[right] + 2))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def unit(flat: np.ndarray, dims: int) -> np.ndarray:
     x = flat.reshape(-1, dims).astype(np.float64)
     return x / np.sqrt((x * x).sum(1))[:, None]
@@ -157,7 +197,7 @@ def _forest(spark: SparkSession, lead: DataFrame, dims: int, n: int, kind: type)
                 for k, tree in enumerate(trees.value):
                     r, l = tree.leaves(x)
                     row.append(r)
-                    leaf.append((l + (k << 24)).astype(np.int32))
+                    leaf.append(l + (k << 40))
                 row, leaf = np.concatenate(row), np.concatenate(leaf)
                 order = np.lexsort((leaf, row))
                 row, leaf = row[order], leaf[order]
@@ -166,7 +206,8 @@ def _forest(spark: SparkSession, lead: DataFrame, dims: int, n: int, kind: type)
                 yield pa.record_batch([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(leaf)), bodies], names=["id", "many", "places", "v"])
 
     scratch = Scratch(spark, "forest")
-    placed = scratch.put(lead.mapInArrow(place, "id bigint, many bigint, places array<int>, v binary"), "placed")
+    placed = scratch.put(lead.mapInArrow(place, "id bigint, many bigint, places array<bigint>, v binary"), "placed")
+    placed = _split(placed, dims, kind, scratch)
     each = placed.select(F.explode("places").alias("leaf"), "id")
     sizes = each.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("k"))
     dealt = placed.select(F.explode("places").alias("leaf"), "id", "many", "places", "v").join(sizes, "leaf").withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
@@ -176,5 +217,49 @@ def _forest(spark: SparkSession, lead: DataFrame, dims: int, n: int, kind: type)
     return dealt.mapInArrow(lambda b: _pairs(b, dims, kind), "id bigint, n bigint, other bigint")
 
 
+def _split(placed: DataFrame, dims: int, kind: type, scratch: Scratch) -> DataFrame:
+    """``placed`` with its large leaves split by samples of their own rows, until nothing parts any more."""
+    final = None  # leaves that no plane parts
+    for step in range(16):
+        directions = np.stack([direction(step * 64 + node, dims) for node in range(2**LEVELS - 1)])
+        sizes = placed.select(F.explode("places").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE)
+        if final is not None:
+            sizes = sizes.join(final, "leaf", "left_anti")
+        sizes = scratch.put(sizes, f"large_{step}")
+        if sizes.isEmpty():
+            return placed
+        # (row, leaf) for large leaves; a leaf's sample are the rows whose hash falls into its share, about as many of each.
+        rows = placed.withColumn("row", F.xxhash64("id", "v")).select("row", F.explode("places").alias("leaf"), "v").join(sizes, "leaf")
+        few = rows.where(F.pmod(F.xxhash64("row", "leaf"), F.greatest(F.lit(1), (F.col("n") / F.lit(OWN)).cast("long"))) == 0)
+
+        def cut(batches: Iterator[pa.RecordBatch], directions: np.ndarray = directions) -> Iterator[pa.RecordBatch]:
+            for group in groups(batches, 1):
+                x = unit(np.frombuffer(b"".join(r[2] for r in group), kind), dims)
+                yield pa.record_batch([pa.array([group[0][0]], pa.int64()), pa.array([own_cuts(x, group[0][1], directions)], pa.list_(pa.float64()))], names=["leaf", "cuts"])
+
+        trees = few.select("leaf", "n", "v").repartition("leaf").sortWithinPartitions("leaf").mapInArrow(cut, "leaf bigint, cuts array<double>")
+        trees = scratch.put(trees, f"cuts_{step}")
+        parted = trees.where(~F.isnan(F.col("cuts")[0]))
+        whole = sizes.select("leaf").join(parted, "leaf", "left_anti")
+        final = whole if final is None else final.unionByName(whole)
+        if parted.isEmpty():
+            return placed
+
+        def lead(batches: Iterator[pa.RecordBatch], directions: np.ndarray = directions) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = unit(np.frombuffer(b"".join(batch.column(2).to_pylist()), kind), dims) if len(batch) else np.zeros((0, dims))
+                row, node = own_leaves(x, np.stack(batch.column(3).to_numpy(zero_copy_only=False)) if len(batch) else np.zeros((0, len(directions))), directions)
+                old = batch.column(1).to_numpy()[row]
+                new = (old.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + node.astype(np.uint64) + np.uint64(step + 1)) >> np.uint64(1)
+                yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array(old), pa.array(new.astype(np.int64))], names=["row", "old", "new"])
+
+        moved = rows.select("leaf", "row", "v").join(parted, "leaf").select("row", "leaf", "v", "cuts").mapInArrow(lead, "row bigint, old bigint, new bigint")
+        moved = moved.groupBy("row").agg(F.collect_set("old").alias("old"), F.collect_set("new").alias("new"))
+        both = placed.withColumn("row", F.xxhash64("id", "v")).join(moved, "row", "left")
+        places = F.when(F.col("old").isNull(), F.col("places")).otherwise(F.array_sort(F.concat(F.array_except("places", "old"), "new")))
+        placed = scratch.put(both.select("id", "many", places.alias("places"), "v"), f"placed_{step}")
+    return placed
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
