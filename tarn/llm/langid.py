@@ -9,8 +9,9 @@ Training takes at most ``TRAIN_ROWS`` rows, as many of each language where there
 steps (Pegasos); the model is a fixed 256 KB for each pair of families or sister languages.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is every text if no language can be
-learnt; one learnt language is predicted with score 1; repeated and long texts are ordinary; columns besides key, text
-and language are ignored.
+learnt; one learnt language is predicted with score 1; of equally likely families or languages the first by name is
+taken; of several languages of a key the first by name is learnt; repeated and long texts are ordinary; columns besides
+key, text and language are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -159,7 +160,7 @@ class Model:
 def fit(docs: DataFrame, lang: str, key: str = "doc_id", text: str = "text") -> Model:
     """A model from the rows of ``docs`` (those that may be learnt from)."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    marks = docs.select(F.col(key).alias("key"), F.col(lang).alias("y")).where("key is not null and y is not null").dropDuplicates(["key"])
+    marks = docs.select(F.col(key).alias("key"), F.col(lang).alias("y")).where("key is not null and y is not null").groupBy("key").agg(F.min("y").alias("y"))
     got = with_text(rows, sample(marks, "y", TRAIN_ROWS), bounded=True).where("text is not null").select("text", "y").mapInArrow(_vectors, "y string, idx array<int>, val array<float>").toArrow()
     if not len(got):
         return Model({}, [], [])

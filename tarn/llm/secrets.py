@@ -5,8 +5,8 @@ holds a row for each (blob, rule version) that was ever scanned, with the spans
 drops every (blob, rule version) pair that the ledger has, scans one copy of each remaining blob, appends the outcome
 (also the empty ones, so that clean blobs aren't scanned again) and joins findings back to all paths of a blob.
 
-Defined cases: null text is an empty blob; an empty table gives an empty table; repeated rows are paths of one blob;
-columns besides the key and the text are ignored. Spans count code points, their end is exclusive.
+Defined cases: null text is an empty blob; an empty table gives an empty table; repeated rows are paths of one blob; a
+null key is a path as any other; very long texts are ordinary; columns besides the key and the text are ignored. Spans count code points, their end is exclusive.
 """
 
 from __future__ import annotations

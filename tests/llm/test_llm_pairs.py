@@ -7,6 +7,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tarn.llm import decontaminate, lines, minhash, vectors
 
@@ -110,6 +111,16 @@ def edited(r, text, n):
     return "".join(s)
 
 
+def test_short_documents_at_the_threshold_are_all_found(spark):
+    r = random.Random(12)
+    rows = []
+    for k in range(400):
+        words = [f"w{r.randrange(10**6)}" for _ in range(r.choice((7, 10, 15, 19)))]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words, *(f"x{r.randrange(10**6)}" for _ in range((len(words) - 4) // 3))]))]
+    got = {x.id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[d] == d - d % 2 for d in got) and len(got) == 800
+
+
 def test_banded_distance():
     r = random.Random(3)
     pairs = [(a := "".join(r.choice("abcé ") for _ in range(r.randint(5, 70))), edited(r, a, r.randint(0, 4))) for _ in range(800)]
@@ -329,6 +340,35 @@ def test_vectors_equal_brute_force(spark, monkeypatch, block):
     assert got == brute_vectors(rows)
 
 
+def test_large_leaves_are_split_again_and_links_stay(spark, monkeypatch):
+    """Planted pairs at a cosine of 0.951 or more, and a group of a third of the rows around one vector."""
+    for name, value in {"SAMPLE": 400, "LEAF": 60, "LARGE": 480}.items():
+        monkeypatch.setattr(vectors, name, value)
+    r = np.random.default_rng(3)
+    n, dims = 9000, 32
+    x = r.standard_normal((n, dims))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+
+    def near(v, cosine):
+        noise = r.standard_normal(v.shape)
+        noise -= (noise * v).sum(1)[:, None] * v
+        noise /= np.linalg.norm(noise, axis=1)[:, None]
+        return cosine * v + np.sqrt(1 - cosine**2) * noise
+
+    x[1000:2000] = near(x[:1000], 0.951)
+    x[6000:] = near(np.repeat(x[5999:6000], 3000, 0), 0.97)
+    linked = x @ x.T >= 0.95
+    np.fill_diagonal(linked, False)
+    seen = []
+    real = vectors._split
+    monkeypatch.setattr(vectors, "_split", lambda placed, *a: seen.append((placed, real(placed, *a))) or seen[-1][1])
+    got = vectors.near_vectors(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas().sort_values("id")
+    assert got.n_links.sum() >= 0.97 * linked.sum() and got.n_links.sum() <= linked.sum()
+    assert (got.component_id.to_numpy()[1000:2000] == np.arange(1000)).mean() > 0.98
+    largest = [df.select(F.explode("places").alias("p")).where("size(array(p)) = 1").groupBy("p").count().agg(F.max("count")).first()[0] for df in seen[0]]
+    assert largest[1] < largest[0]
+
+
 def test_query_op9(spark):
     rows = duckdb.sql(f"select vec_id, embedding from '{SF}/embeddings.parquet'").fetchall()
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.op9_embedding_dedup(spark, SF).collect()}
