@@ -2,7 +2,8 @@
 
 Toxic documents go; lines that repeat or nearly repeat an earlier one go, and documents of which nothing is left; of
 each group of near-duplicates the document with the smallest id stays; documents that leak a benchmark item go; the rest
-is encoded. Rows with a null id or text pass through every filter; all columns of ``documents`` stay until the last stage.
+is encoded. Rows with a null id or text pass through every filter, repeated rows stay or go together, an empty table gives
+no rows; all columns of ``documents`` stay until the last stage.
 """
 
 from __future__ import annotations
