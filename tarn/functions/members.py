@@ -106,6 +106,13 @@ class Member:
             return F.lit(False)
         return self.comparable.isin(*[self._value(v) for v in values]) if self.is_time else self.column.isin(*values)
 
+    def or_default(self) -> Member:
+        """Null as the default of the member's type: zero, false, or the empty string."""
+        zero = 0 if self.is_number else False if isinstance(self.kind, T.BooleanType) else "" if self.is_text else None
+        if zero is None:
+            raise QueryNotSupported(f"{self.name} has no default")
+        return Member(F.coalesce(self.column, F.lit(zero).cast(self.kind)), self.kind, f"default({self.name})", self.unordered)
+
     def is_one_of(self, *values: object) -> Column:
         return self.is_in(values)
 

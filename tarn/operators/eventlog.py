@@ -36,6 +36,8 @@ class EventLog:
     events: DataFrame
     #: Types whose bodies are bytes.
     binary: frozenset[str] = frozenset()
+    #: The highest sequence that was ever given, if it is known; its event may be gone.
+    issued: int = 0
 
     # Streams.
     def fetch_stream(self, stream: Any, version: int | None = None, timestamp: Any = None, from_version: int | None = None, known: list[str] | None = None) -> DataFrame:
@@ -106,7 +108,7 @@ class EventLog:
 
     def statistics(self) -> DataFrame:
         return self.events.agg(
-            F.count(F.lit(1)).alias("event_count"), F.countDistinct("stream_id").alias("stream_count"), F.coalesce(F.max("seq_id"), F.lit(0)).alias("highest_sequence")
+            F.count(F.lit(1)).alias("event_count"), F.countDistinct("stream_id").alias("stream_count"), F.greatest(F.coalesce(F.max("seq_id"), F.lit(0)), F.lit(self.issued)).alias("highest_sequence")
         )
 
     def floor_at(self, when: Any) -> DataFrame:

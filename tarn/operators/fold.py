@@ -12,7 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Change = dict[str, Callable[[Column, Column], Any]]
@@ -113,12 +113,19 @@ class Fold:
         return folded.select(key, *[F.col(f"_state.{k}").alias(k) for k in names])
 
     def timeline(self, events: DataFrame, key: str = "stream_id", order: str = "version") -> DataFrame:
-        """The state after each event."""
+        """The state after each event: each stream is folded once, and leaves a state for each event."""
         read = [c for c in events.columns if c not in (key, order)]
-        w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        rows = events.where(F.col("type").isin(*self.types)).withColumn("_events", F.collect_list(F.struct(order, *read)).over(w))
-        out = rows.select(key, order, "type", F.aggregate("_events", self._zero(), self.step).alias("_state"))
-        return out.select(key, order, "type", F.coalesce(F.col("_state.alive"), F.lit(False)).alias("alive"), *[F.col(f"_state.{k}").alias(k) for k in self.fields])
+        lists = events.where(F.col("type").isin(*self.types)).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *read))).alias("_events"))
+        mark = lambda event, state: F.struct(event[order].alias(order), event["type"].alias("type"), state.alias("state"))
+        shape = f"array<struct<{order}:{events.schema[order].dataType.simpleString()},type:string,state:struct<alive:boolean,{','.join(f'{k}:{t}' for k, (t, _) in self.fields.items())}>>>"
+        zero = F.struct(self._zero().alias("now"), F.array().cast(shape).alias("all"))
+
+        def step(acc: Column, event: Column) -> Column:
+            now = self.step(acc["now"], event)
+            return F.struct(now.alias("now"), F.concat(acc["all"], F.array(mark(event, now)).cast(shape)).alias("all"))
+
+        out = lists.select(key, F.explode(F.aggregate("_events", zero, step)["all"]).alias("_at"))
+        return out.select(key, f"_at.{order}", "_at.type", F.coalesce(F.col("_at.state.alive"), F.lit(False)).alias("alive"), *[F.col(f"_at.state.{k}").alias(k) for k in self.fields])
 
 
 def to_version(events: DataFrame, version: int, order: str = "version") -> DataFrame:

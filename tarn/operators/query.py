@@ -13,7 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -220,9 +220,9 @@ class Query:
                 raise QueryNotSupported("a grouping without a select")
             return self._sorted(self._grouped(df), orders, self._group_value)
         if self._distinct_by:
+            # An aggregate combines before the shuffle, so a frequent key is no large group anywhere.
             key = self._member(self._distinct_by).comparable
-            rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col(self.mapping.key)))
-            df = df.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
+            df = df.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*df.columns), F.col(self.mapping.key)).alias("_row")).select("_row.*")
         if self._select is None:
             return self._sorted(df, orders, document)
         shaped = {k: as_column(self._value(v)).alias(k) for k, v in self._select.items()}
@@ -405,6 +405,20 @@ class Query:
         df = self.to_df()
         return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias(name))
 
+    def to_json_page(self, size: int, cursor: str | None = None) -> tuple[str, str | None]:
+        """A cursor page as one JSON array, and the next cursor."""
+        page = self.to_cursor_page(size, cursor)
+        return json.dumps([r.asDict(recursive=True) for r in page.rows], default=str), page.next
+
+    def load_json(self, key: Any, version: str = "revision") -> tuple[str, Any] | None:
+        """A document as JSON with its version."""
+        rows = self.load(key).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}), version).collect()
+        return tuple(rows[0]) if rows else None
+
+    def fields(self) -> list[str]:
+        """The columns of a document."""
+        return list(self.df.columns)
+
     def to_plan(self) -> str:
         return self.to_df()._jdf.queryExecution().toString()
 
