@@ -126,7 +126,7 @@ class Daemon:
         """One batch of events, to be called again with the same number after a failure."""
         if f"{batch:012d}.json" in self.files.names(f"{p.name}/_batches"):
             return
-        df = df.where(F.col("seq_id") > max(p.start, self.progress(p.name) if commit else 0))
+        df = df.where(F.col("seq_id") > (max(p.start, self.progress(p.name)) if commit else p.start))
         if "is_archived" in df.columns:
             df = df.where(~F.col("is_archived"))
         seen = self.events.snapshot(commit).last_sequence() if commit else df.agg(F.max("seq_id")).first()[0] or 0
