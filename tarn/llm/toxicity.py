@@ -442,10 +442,12 @@ def figures(rows: DataFrame, model: Model) -> DataFrame:
     asked = scratch.put(rows.select("text", F.lit(-1).alias("y")).mapInArrow(_vocabulary, VOCABULARY), "asked")
     words = ratios(model.vocabulary.unionByName(asked), scratch)
     scratch.drop("asked")
-    kinds = words.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count(F.lit(1)).alias("kinds")).toArrow().to_pandas().sort_values("n", ascending=False)
-    fits = kinds[kinds["kinds"].cumsum() <= MOST_KNOWN]["n"]
-    least = int(fits.min()) if len(fits) else 1 << 62
-    top = words.where(F.col("n") >= least).select("w", "r").toArrow()
+    # By sixteenths of powers of two, so that a few hundred counts say where the most frequent words begin, whatever their number.
+    words = words.withColumn("level", F.floor(F.log2("n") * 16).cast("int"))
+    kinds = words.groupBy("level").agg(F.count(F.lit(1)).alias("kinds")).toArrow().to_pandas().sort_values("level", ascending=False)
+    fits = kinds[kinds["kinds"].cumsum() <= MOST_KNOWN]["level"]
+    least = int(fits.min()) if len(fits) else 1 << 20
+    top = words.where(F.col("level") >= least).select("w", "r").toArrow()
     known = rows.sparkSession.sparkContext.broadcast(Table(top["w"].to_numpy().view(np.uint64), top["r"].to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,7 +462,7 @@ def figures(rows: DataFrame, model: Model) -> DataFrame:
     sums = scratch.put(sums, "sums")
     opened = sums.select("row", F.explode("open").alias("open")).select("row", "open.*")
     beyond = [F.sum(F.greatest(F.col("r") - F.lit(x), F.lit(0.0)) * F.col("times")) for x in STRONG]
-    late = opened.join(words.where(F.col("n") < least).select("w", "r"), "w")
+    late = opened.join(words.where(F.col("level") < least).select("w", "r"), "w")
     late = late.groupBy("row").agg(F.sum(F.col("r") * F.col("times")).alias("s_"), F.max("r").alias("m_"), *(x.alias(f"c{k}_") for k, x in enumerate(beyond)))
     both = sums.drop("open").join(late, "row", "left")
     s, c0, c1 = (F.col(x) + F.coalesce(f"{x}_", F.lit(0.0)) for x in ("s", "c0", "c1"))
