@@ -42,7 +42,7 @@ from ._store import bound_batches
 
 MARK = "▁"
 #: Chunks that a worker remembers, and the symbols up to which chunks are solved together and remembered.
-MEMO, LONG, PART = 600_000, 64, 1 << 16
+MEMO, LONG, PART = 400_000, 64, 1 << 16
 U = np.uint64
 PREFIX = 1 << 30
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -394,9 +394,10 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _vec.trim()
         machine = transducer(model)
         for batch in batches:
-            for lo, hi, _, _ in _vec.slices(batch.column(1), 1 << 20):
+            for lo, hi, _, _ in _vec.slices(batch.column(1)):
                 texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
                 ids, ends = machine.encode_all(texts)
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))

@@ -38,7 +38,7 @@ from . import _vec
 from ._labels import fold, with_text
 from ._store import Scratch
 
-LONG, BLOCK, MOST_KNOWN, CURVE_ROWS, CUT = 32, 50_000, 1 << 18, 6000, 0.3
+LONG, BLOCK, MOST_KNOWN, CURVE_ROWS, CUT = 32, 25_000, 1 << 18, 6000, 0.3
 #: Counts that the shared distribution adds to every beginning, and the log ratios from which a word counts as strong.
 PRIOR, STRONG, FIGURES = 10.0, (1.5, 4.0), 6
 U = np.uint64
