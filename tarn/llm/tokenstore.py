@@ -39,11 +39,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _vec
-from ._memo import Pool, names_of
+from ._memo import Table, names_of
 from ._store import Scratch
 
 MEAN_BITS, LEAST, MOST, SPAN = 10, 128, 8192, 8
-MEMO, GIVEN = 600_000, 200_000
+MEMO, GIVEN = 1_000_000, 200_000
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(4242))
 GEAR = _rng.integers(0, 2**64, 1 << 16, dtype=np.uint64)
@@ -106,7 +106,7 @@ class Encoder:
         #: Whether texts may be cut into pieces, and the model sees just the bytes of a word.
         self.plain = parts.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and getattr(pre, "use_regex", True) and type(parts.model).__name__ == "BPE"
         self.model = parts.model
-        self.memo = Pool(MEMO, np.uint32)
+        self.memo = Table(MEMO, np.uint32)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, self.end], np.uint32)
@@ -129,9 +129,8 @@ class Encoder:
             cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
             start = piece_starts(cps, offs)
             name, size = names_of(cps, start)
-            names, first, inv = np.unique(name, return_index=True, return_inverse=True)
-            piece = lambda k: text[start[first[k]] : start[first[k]] + size[first[k]]]
-            flat, stop = self.memo.gather(self.memo.places(names, lambda new: [self.make(piece(k)) for k in new])[inv])
+            pieces = lambda new: map(text.__getitem__, map(slice, start[new].tolist(), (start + size)[new].tolist()))
+            flat, stop = self.memo.gather(self.memo.places(name, lambda new: [self.make(piece) for piece in pieces(new)]))
             counts = np.diff(np.concatenate(([0], stop))[np.searchsorted(start, offs)])
         parts, at = [], 0
         if any(special):

@@ -1,6 +1,7 @@
 """Classifiers on held-out rows, secrets, pieces and the token store against plain references."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.llm import langid, pieces, quality, secrets, tokenstore, toxicity
+from tarn.llm import _memo, langid, pieces, quality, secrets, tokenstore, toxicity
 
 SMALL, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 
@@ -229,6 +230,39 @@ def test_pieces_join_to_the_librarys_ids():
         assert ids[a:b].tolist() == [*library.encode(text, add_special_tokens=False).ids, 2], text
 
 
+def test_frequent_pieces_outlive_a_full_memo(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(tokenstore, "MEMO", 300)
+    library, machine, made, make = Tokenizer.from_file(path), tokenstore.Encoder(path, 2), [], tokenstore.Encoder.make
+    monkeypatch.setattr(machine, "make", lambda piece: made.append(piece) or make(machine, piece))
+    frequent = "the same words come again in each of these texts"
+    for k in range(60):
+        texts = [frequent + "".join(f" {chr(97 + j % 26)}{chr(97 + k % 26)}{'xyz'[k // 26]}{chr(97 + j // 26)}" for j in range(50))] * 2
+        ids, bounds = machine.ids(texts)
+        assert [ids[a:b].tolist() for a, b in itertools.pairwise(bounds)] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert len(made) > 2000 and len(machine.memo) < 400
+    assert all(made.count(piece) == 1 for piece in (" same", " words", " texts"))
+
+
+def test_a_table_of_names_agrees_with_a_dictionary():
+    r = np.random.default_rng(4)
+    # Names that share slots, the last slots too, and the name 0.
+    every = np.concatenate((np.arange(30, dtype=np.uint64), np.uint64(2**64 - 1) - np.arange(30, dtype=np.uint64), r.integers(0, 2**64, 60_000, dtype=np.uint64)))
+    for most in (500, 1_000_000):
+        table = _memo.Table(most, np.uint32)
+        for _ in range(40):
+            names = every[r.integers(0, len(every), 4000) // r.choice([1, 50], 4000)]
+            made = []
+            flat, stop = table.gather(table.places(names, lambda new, names=names, made=made: made.extend(new) or [[int(x) & 0xFFFF] * (int(x) % 4) for x in names[new]]))
+            assert len(set(names[made].tolist())) == len(made)
+            assert np.array_equal(np.diff(stop, prepend=0), names % np.uint64(4))
+            assert np.array_equal(flat, np.repeat(names & np.uint64(0xFFFF), np.diff(stop, prepend=0)))
+        assert len(table) <= most + 4000 and 2 * len(table) <= len(table.name)
+
+
 def test_a_changed_manifest_is_found(spark, tmp_path):
     import public_tokenizers
 
