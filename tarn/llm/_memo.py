@@ -10,8 +10,8 @@ import numpy as np
 from . import _vec
 
 U = np.uint64
-#: The low bits of a place tell the length.
-SIZE = 20
+#: The low bits of a place tell the length: fewer than 2**20 characters have at most four bytes each, and an id stands for a byte at least.
+SIZE = 22
 
 
 class Pool:

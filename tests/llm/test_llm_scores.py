@@ -230,6 +230,17 @@ def test_pieces_join_to_the_librarys_ids():
         assert ids[a:b].tolist() == [*library.encode(text, add_special_tokens=False).ids, 2], text
 
 
+def test_a_piece_of_more_than_a_million_ids_keeps_them_all():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = "\U0001fae0" * 360_000
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    ids, bounds = tokenstore.Encoder(path, 2).ids([text, "after it"])
+    assert len(want) > 1 << 20 and ids[: bounds[1]].tolist() == [*want, 2]
+
+
 def test_frequent_pieces_outlive_a_full_memo(monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
