@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import QueryNotSupported
+from .pages import page as page_of
 
 
 def assign_versions(events: DataFrame, stream: str = "stream_id", order: str = "seq_id", base: int = 0) -> DataFrame:
@@ -75,7 +76,7 @@ class EventLog:
 
     def page(self, number: int = 1, size: int = 50, **equal: Any) -> DataFrame:
         """Events with the given values of type, stream_id, correlation_id, causation_id or user_name; a page by sequence."""
-        return self._equal(equal).orderBy("seq_id").offset((number - 1) * size).limit(size)
+        return page_of(self._equal(equal).orderBy("seq_id"), (number - 1) * size, size)
 
     def page_total(self, **equal: Any) -> DataFrame:
         return self._equal(equal).agg(F.count(F.lit(1)).alias("total"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..errors import QueryNotSupported
 from ..functions.members import Member
 from ..mapping import Members, as_column
+from .pages import page as page_of
 from .query import Page, Query
 
 
@@ -93,14 +94,13 @@ class Join:
             df = df.orderBy(*[c.desc() if d else c.asc() for c, d in keys])
         return df
 
-    def _page(self, df: DataFrame) -> DataFrame:
-        if self.offset:
-            df = df.offset(self.offset)
-        return df if self.limit is None else df.limit(self.limit)
+    def _page(self, *outputs: Column) -> DataFrame:
+        """The outputs of a page's rows: a page is of named columns, which the sides' aliases don't reach."""
+        return page_of(self.joined().select(*outputs), self.offset, self.limit, ordered=bool(self.orders))
 
     def select(self, **shape: Callable[..., Any]) -> DataFrame:
         """Named outputs of functions of the sides' members."""
-        return self._page(self.joined()).select(*self._outputs(shape))
+        return self._page(*self._outputs(shape))
 
     def _outputs(self, shape: dict[str, Callable[..., Any]]) -> list[Column]:
         return [as_column(f(*self._members())).alias(k) for k, f in shape.items()]
@@ -109,16 +109,17 @@ class Join:
         """Whole documents of a side, as one struct; null where a left join found none."""
         side = next(s for s in self.sides if s.alias == alias)
         row = F.struct(*[F.col(f"{alias}.{c}").alias(c) for c in side.query.df.columns])
-        return self._page(self.joined()).select(F.when(F.col(f"{alias}.{side.query.mapping.key}").isNotNull(), row).alias(alias))
+        return self._page(F.when(F.col(f"{alias}.{side.query.mapping.key}").isNotNull(), row).alias(alias))
 
     def _paged(self) -> bool:
         return self.limit is not None or bool(self.offset)
 
     def count_df(self, name: str = "n") -> DataFrame:
-        return (self._page(self.joined()) if self._paged() else self.joined(False)).agg(F.count(F.lit(1)).alias(name))
+        return (self._page(F.lit(1).alias("_row")) if self._paged() else self.joined(False)).agg(F.count(F.lit(1)).alias(name))
 
     def any_df(self, name: str = "found") -> DataFrame:
-        return self._page(self.joined(False)).limit(1).agg((F.count(F.lit(1)) > 0).alias(name))
+        found = page_of(self.joined(False).select(F.lit(1)), self.offset, 1 if self.limit is None else min(self.limit, 1), ordered=False)
+        return found.agg((F.count(F.lit(1)) > 0).alias(name))
 
     def aggregate_df(self, kind: str, of: Callable[..., Any], name: str = "value") -> DataFrame:
         m = of(*self._members())
@@ -126,10 +127,11 @@ class Join:
             m.number(kind)
         else:
             m.ordered(kind)
-        column = getattr(F, kind)(m.column)
+        rows = self._page(m.column.alias("_of")) if self._paged() else self.joined(False).select(m.column.alias("_of"))
+        column = getattr(F, kind)("_of")
         if m.is_number:
             column = F.coalesce(column, F.lit(0))
-        return (self._page(self.joined()) if self._paged() else self.joined(False)).agg(column.alias(name))
+        return rows.agg(column.alias(name))
 
     def first(self, **shape: Callable[..., Any]) -> DataFrame:
         return self.take(1).select(**shape)

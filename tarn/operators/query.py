@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from ..errors import QueryNotSupported
 from ..functions.members import Member
 from ..mapping import Mapping, Members, as_column
+from .pages import page as page_of
 
 Lambda = Callable[..., Any]
 
@@ -206,10 +207,9 @@ class Query:
         keys = [(resolve(k), d) for k, d in orders]
         return df.orderBy(*[c.desc() if d else c.asc() for c, d in keys]) if keys else df
 
-    def _paged(self, df: DataFrame) -> DataFrame:
-        if self._offset:
-            df = df.offset(self._offset)
-        return df if self._limit is None else df.limit(self._limit)
+    def _any(self) -> DataFrame:
+        """A row of the page, if it has one."""
+        return page_of(self.unpaged(ordered=False), self._offset, 1 if self._limit is None else min(self._limit, 1), ordered=False)
 
     def unpaged(self, ordered: bool = True) -> DataFrame:
         df = self.filtered()
@@ -266,7 +266,7 @@ class Query:
         raise QueryNotSupported("an ordering of groups by what the select doesn't have")
 
     def to_df(self) -> DataFrame:
-        return self._paged(self.unpaged())
+        return page_of(self.unpaged(), self._offset, self._limit, ordered=bool(self._orders))
 
     # Terminals. Those that end in _df give a row of one column.
     def count_df(self, name: str = "n") -> DataFrame:
@@ -279,10 +279,10 @@ class Query:
         return self.count_df().first()[0]
 
     def any_df(self, name: str = "found") -> DataFrame:
-        return self._paged(self.unpaged(ordered=False)).limit(1).agg((F.count(F.lit(1)) > 0).alias(name))
+        return self._any().agg((F.count(F.lit(1)) > 0).alias(name))
 
     def any(self) -> bool:
-        return not self._paged(self.unpaged(ordered=False)).isEmpty()
+        return not self._any().isEmpty()
 
     def _scalar(self, kind: str, of: Any, name: str) -> DataFrame:
         if self._select is not None or self._group is not None:

@@ -20,7 +20,6 @@ from __future__ import annotations
 import json
 import random
 import re
-import tempfile
 import time
 import uuid
 from collections.abc import Callable
@@ -36,7 +35,9 @@ from ..errors import BoundaryConflict, ConcurrencyConflict, QueryNotSupported, S
 from ..mapping import Mapping
 from ..operators.eventlog import EventLog, TagCondition, mask, overwrite
 from ..operators.fold import Fold
+from ..operators.pages import page as page_of
 from ..operators.query import Query
+from ..scratch import scratch_root
 
 EVENTS = "seq_id long, stream_id string, version long, type string, timestamp timestamp_ntz, tenant_id string, data string, headers string, data_binary binary"
 TAGS = "tag string, value string, seq_id long"
@@ -47,20 +48,6 @@ RETRIES, FIRST_WAIT = 5, 0.05
 OWN = {"events": EVENTS, "tags": TAGS, "natural_keys": NATURAL}
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """A new folder that all nodes share, in the cluster's ``spark.checkpoint.dir``; a temporary one on one machine only."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all nodes share")
-        named = getattr(spark, "_tarn_scratch_root", None) or "file://" + tempfile.mkdtemp(prefix="tarn-store-")
-        spark._tarn_scratch_root = named
-    root = f"{named.rstrip('/')}/store-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return root
-
-
 def event_alias(name: str | type) -> str:
     """The stored name of an event type: QuestStarted as quest_started; a name in small letters stays."""
     name = name if isinstance(name, str) else name.__name__
@@ -323,7 +310,8 @@ class Snapshot:
         for column, value in columns.items():
             df = df.where(F.col(column) == F.lit(value))
         body = F.to_json(F.struct(*fields.names), {"ignoreNullFields": "false"})
-        return df.select(F.col(mapping.key).alias("key"), "tenant_id", "revision", body.alias("json")).orderBy("key", "tenant_id").offset((page - 1) * size).limit(size)
+        df = df.select(F.col(mapping.key).alias("key"), "tenant_id", "revision", body.alias("json")).orderBy("key", "tenant_id")
+        return page_of(df, (page - 1) * size, size)
 
     def events(self) -> DataFrame:
         return self.table("events")
