@@ -207,9 +207,14 @@ class Query:
         keys = [(resolve(k), d) for k, d in orders]
         return df.orderBy(*[c.desc() if d else c.asc() for c, d in keys]) if keys else df
 
+    def _page(self, *outputs: Column) -> DataFrame:
+        """A page's rows, or of them what a terminal needs: a large page is written with all its columns."""
+        df = self.unpaged()
+        return page_of(df.select(*outputs) if outputs else df, self._offset, self._limit, ordered=bool(self._orders))
+
     def _any(self) -> DataFrame:
         """A row of the page, if it has one."""
-        return page_of(self.unpaged(ordered=False), self._offset, 1 if self._limit is None else min(self._limit, 1), ordered=False)
+        return page_of(self.unpaged(ordered=False).select(F.lit(1)), self._offset, 1 if self._limit is None else min(self._limit, 1), ordered=False)
 
     def unpaged(self, ordered: bool = True) -> DataFrame:
         df = self.filtered()
@@ -252,13 +257,20 @@ class Query:
         return self.aggregate_of(kind, of)
 
     def aggregate_of(self, kind: str, of: Any) -> Column:
+        return self._reduced(kind, self._operand(kind, of))
+
+    def _operand(self, kind: str, of: Any) -> Column:
         m = self._value(of)
         if kind in ("sum", "avg"):
             m.number(kind)
-            return F.coalesce(getattr(F, kind)(m.column), F.lit(0))
+            return m.column
         if kind not in ("min", "max"):
             raise QueryNotSupported(f"the aggregate {kind}")
-        return getattr(F, kind)(m.ordered(kind).comparable)
+        return m.ordered(kind).comparable
+
+    def _reduced(self, kind: str, column: Column) -> Column:
+        out = getattr(F, kind)(column)
+        return F.coalesce(out, F.lit(0)) if kind in ("sum", "avg") else out
 
     def _group_value(self, key: Any) -> Column:
         if key in self._shape:
@@ -266,13 +278,13 @@ class Query:
         raise QueryNotSupported("an ordering of groups by what the select doesn't have")
 
     def to_df(self) -> DataFrame:
-        return page_of(self.unpaged(), self._offset, self._limit, ordered=bool(self._orders))
+        return self._page()
 
     # Terminals. Those that end in _df give a row of one column.
     def count_df(self, name: str = "n") -> DataFrame:
         """Rows of the result; a page counts the page."""
         paged = self._limit is not None or self._offset
-        df = self.to_df() if paged else self.unpaged(ordered=False)
+        df = self._page(F.lit(1)) if paged else self.unpaged(ordered=False)
         return df.agg(F.count(F.lit(1)).alias(name))
 
     def count(self) -> int:
@@ -288,10 +300,10 @@ class Query:
         if self._select is not None or self._group is not None:
             raise QueryNotSupported(f"{kind} after a select")
         paged = self._limit is not None or self._offset
-        df = self.to_df() if paged else self.filtered()
-        m = self._value(of)
-        column = self.aggregate_of(kind, of)
-        if kind in ("min", "max") and m.is_number:
+        operand = self._operand(kind, of)
+        df = self._page(operand.alias("_of")) if paged else self.filtered()
+        column = self._reduced(kind, F.col("_of") if paged else operand)
+        if kind in ("min", "max") and self._value(of).is_number:
             column = F.coalesce(column, F.lit(0))
         return df.agg(column.alias(name))
 

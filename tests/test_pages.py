@@ -67,6 +67,21 @@ def test_joins_events_and_types_without_a_parquet_form(spread):
     assert [r.id for r in odd.select("id").collect()] == list(range(995, 1000))
 
 
+def test_a_terminal_writes_what_it_needs_only(spread, monkeypatch):
+    written, placed = [], pages._placed
+    monkeypatch.setattr(pages, "_placed", lambda df, *rest: written.append(df.columns) or placed(df, *rest))
+    page = Query(numbers(spread), Mapping("id")).order_by("id").skip(990)
+    assert page.count() == 10 and page.any() and page.sum_df("id").first()[0] == 9945
+    assert (page.min_df("id").first()[0], page.max_df("tens").first()[0], page.avg_df("id").first()[0]) == (990, 9, 994.5)
+    assert len(written) == 6 and all(len(columns) == 1 for columns in written)
+
+
+def test_a_cluster_without_a_shared_folder_gets_the_same_rows(spread, monkeypatch):
+    monkeypatch.setattr(pages, "named_root", lambda spark: None)
+    rows = Query(numbers(spread), Mapping("id")).order_by("id").skip(50).to_df()
+    assert [r.id for r in rows.select("id").collect()] == list(range(50, 1000))
+
+
 def test_refusals_stay(spread):
     q = Query(numbers(spread), Mapping("id"))
     for bad in (q.skip(-1), q.take(-1), q.skip(5).take(-1)):
